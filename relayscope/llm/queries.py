@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayscope.llm import fields, lookalikes, mojibake
+from relayscope.llm import encoding, fields, leaks, lookalikes, mojibake, subjects
 from relayscope.sources.tables import table
 
 
@@ -42,5 +42,50 @@ def p6_restored(spark: SparkSession, folder: str) -> DataFrame:
     return _garbled(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_plain, p6_found, p6_restored)}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document: doc_id, ids."""
+    return encoding.encode(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that the ids of ``p7_ids`` stand for: doc_id, text."""
+    return encoding.decode(p7_ids(spark, folder), "doc_id", "ids")
+
+
+def _matches(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.search(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a run of an item: doc_id, item_id."""
+    return leaks.leaked(_matches(spark, folder)).select("doc_id", "item_id")
+
+
+def p8_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the longest verbatim match and its place."""
+    return leaks.leaked(_matches(spark, folder))
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold no item: doc_id."""
+    affected = p8_found(spark, folder).select("doc_id").distinct()
+    return table(spark, folder, "documents").select("doc_id").join(affected, "doc_id", "left_anti")
+
+
+def _areas(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels, areas, items = (table(spark, folder, t) for t in ("documents", "area_labels", "subject_areas", "eval_items"))
+    return subjects.subject_areas(docs, labels, areas, items)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Areas that a document is about: doc_id, area."""
+    return _areas(spark, folder).select("doc_id", "area")
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Corpus composition: documents and sentences by area."""
+    return _areas(spark, folder).groupBy("area").agg(F.count(F.lit(1)).alias("documents"), F.sum("sentences").alias("sentences"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_plain, p6_found, p6_restored, p7_ids, p7_decoded, p8_found, p8_matches, p8_kept, p9_found, p9_composition)}
 ORACLE_SQL: dict[str, str] = {}
