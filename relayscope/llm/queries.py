@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayscope.llm import encoding, fields, leaks, lookalikes, mojibake, subjects
+from relayscope.llm import encoding, fields, leaks, lookalikes, mojibake, pii, subjects
 from relayscope.sources.tables import table
 
 
+def _mentions(spark: SparkSession, folder: str) -> DataFrame:
+    analyses = table(spark, folder, "analyses")
+    known = pii.name_knowledge(analyses, ["from_address", "meta_json"])
+    return pii.mask_fields(analyses, "id", {f: F.col(f) for f in ("analyst_notes", "subject", "from_display_name")}, known)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of personal data that a value mentions: id, field, kind."""
+    return _mentions(spark, folder).select("id", "field", F.explode(F.array_distinct("kinds")).alias("kind"))
+
+
+def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Values with a mention, placeholders in place of it: id, field, masked."""
+    return _mentions(spark, folder).select("id", "field", "masked")
+
+
 def _disguised(spark: SparkSession, folder: str) -> DataFrame:
     """Values that aren't in plain form: id, field, value, plain. Garbled values are left out."""
     analyses = table(spark, folder, "analyses").select("id", "from_address", "from_display_name", "ai_signals_json")
@@ -87,5 +103,5 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
     return _areas(spark, folder).groupBy("area").agg(F.count(F.lit(1)).alias("documents"), F.sum("sentences").alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_plain, p6_found, p6_restored, p7_ids, p7_decoded, p8_found, p8_matches, p8_kept, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p5_found, p5_plain, p6_found, p6_restored, p7_ids, p7_decoded, p8_found, p8_matches, p8_kept, p9_found, p9_composition)}
 ORACLE_SQL: dict[str, str] = {}

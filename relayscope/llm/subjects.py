@@ -40,6 +40,7 @@ _CODE = re.compile(r"```.*?```|\b(?:if|for|while)\s*\([^)\n]*\)\s*\{[^{}]*\}", r
 _TAG = re.compile(r"<(/?)([A-Za-z][^<>]*)>")
 _QUOTE = re.compile(r"(?m)^(?:[>|]\s?)+")
 #: What introduces a postscript; the sentence after it has no area.
+_SIGNATURE = re.compile(r"(?m)^[>|\s]*--[ \t]*\n(?:[>|\s]*\S+(?:[ \t]+\S+){0,3}(?<![.!?:,;])[ \t]*(?:\n|$)){1,3}")
 _POSTSCRIPT = re.compile(r"(?i)(?<!\w)(?:p\.?\s?-?\s?s\.?|p\.\s?d\.?|n\.\s?b\.?|übrigens|by the way|au fait|por cierto)\s*:?\s+(?=\w)")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+|\n\s*\n")
 
@@ -72,7 +73,7 @@ def sentences(text: str | None, passages: frozenset[tuple[str, ...]] = frozenset
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     text = _CODE.sub(" \n\n", _LINK.sub(" ", text))
     text = _TAG.sub(lambda m: "\n" if m[2][:2].lower() == "br" else " " if m[2][:1].lower() in "aibus" else "\n\n", text)
-    text = _HEADER.sub("\n\n", _QUOTE.sub("", text))
+    text = _SIGNATURE.sub("\n\n", _HEADER.sub("\n\n", _QUOTE.sub("", text)))
     text = _POSTSCRIPT.sub("\n\n\x02", text)
     out = []
     for part in _SENTENCE.split(text):
@@ -109,6 +110,10 @@ class Rules:
             out[area] += share
         return out
 
+    def supporters(self, words: frozenset[str], area: int) -> int:
+        """How many of the words speak for the area."""
+        return len({x for w in words for need, a, _ in self.by_word.get(w, ()) if a == area and need <= words for x in need})
+
     def top(self, words: frozenset[str]) -> tuple[int, float]:
         """The area of most evidence and its lead over the next."""
         scores = self.evidence(words)
@@ -128,7 +133,9 @@ class Rules:
 
     def area_of(self, words: frozenset[str], sure: float) -> str | None:
         area, lead = self.top(words)
-        return self.areas[area] if area >= 0 and self.areas[area] != NO_AREA and self.probability(lead) >= sure else None
+        if area < 0 or self.areas[area] == NO_AREA or self.probability(lead) < sure or self.supporters(words, area) < 2:
+            return None
+        return self.areas[area]
 
 
 def lower_bound(n: float, of: float, z: float = 1.64) -> float:
