@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relayscope.config import BOGON_V4, DOCUMENTATION_V4, DOCUMENTATION_V6
 
@@ -37,7 +38,7 @@ def _within(number: Column, cidrs: list[str]) -> Column:
     return inside
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _ipv6_bogon(ips: pd.Series) -> pd.Series:
     spared = [ipaddress.ip_network(x) for x in DOCUMENTATION_V6]
 
@@ -53,7 +54,7 @@ def _ipv6_bogon(ips: pd.Series) -> pd.Series:
     return ips.map(test)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _ipv6_valid(ips: pd.Series) -> pd.Series:
     def test(text: str | None) -> bool:
         try:

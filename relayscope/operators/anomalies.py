@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from relayscope.config import EARLIEST_YEAR, LARGE_GAP_SECONDS, MAX_HOPS, SEVERITY_RANK
 from relayscope.functions.net import is_bogon, organisation_domain, plain_host
 
-_ORDER = Window.partitionBy("msg_id").orderBy("sequence")
-
-
 def _iso(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
@@ -39,8 +36,9 @@ def impossible_timestamp(hops: DataFrame, before: int = EARLIEST_YEAR) -> DataFr
 
 def _neighbours(hops: DataFrame) -> DataFrame:
     """Each hop beside the one before it; plain lag, missing values included."""
+    order = Window.partitionBy("msg_id").orderBy("sequence")
     kept = [c for c in ("timestamp", "by_host") if c in hops.columns]
-    return hops.withColumns({f"prev_{c}": F.lag(c).over(_ORDER) for c in ["sequence", *kept]})
+    return hops.withColumns({f"prev_{c}": F.lag(c).over(order) for c in ["sequence", *kept]})
 
 
 def time_deltas(hops: DataFrame) -> DataFrame:

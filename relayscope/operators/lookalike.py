@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relayscope.config import CONFUSABLE_FROM, CONFUSABLE_TO, MAX_EDITS, MAX_TOKEN_EDITS, MIN_JARO_WINKLER, TRUSTED_BRANDS
 
@@ -24,7 +25,7 @@ def skeleton(text: Column) -> Column:
     return F.lower(F.translate(text, CONFUSABLE_FROM, CONFUSABLE_TO))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _idna(domains: pd.Series) -> pd.Series:
     def decode(text: str | None) -> str | None:
         if text is None:
@@ -73,7 +74,7 @@ def jaro_winkler_similarity(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 

@@ -11,6 +11,7 @@ from email.utils import parsedate_to_datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relayscope.functions.net import is_bogon, is_ipv4
 from relayscope.operators.auth import fold
@@ -54,7 +55,7 @@ def stamp_text(header: Column) -> Column:
     return F.when(header.contains(";") & (text != ""), text)
 
 
-@F.pandas_udf("timestamp")
+@F.pandas_udf(T.TimestampType())
 def mail_date(texts: pd.Series) -> pd.Series:
     """The standard library's reading of a mail date; -0000 and a missing zone are UTC, unreadable text is null."""
 
