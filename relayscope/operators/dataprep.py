@@ -43,6 +43,6 @@ def metrics(df: DataFrame, truth: Column, said: Column) -> DataFrame:
     """accuracy, precision, recall, f1; shares of nothing are 0. Rows with a null on either side don't count."""
     both = df.select(truth.cast("int").alias("t"), said.cast("int").alias("p")).where("t is not null and p is not null")
     share = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a / b)
-    c = both.agg(F.count_if("t = 1 and p = 1").alias("tp"), F.count_if("t = 0 and p = 1").alias("fp"), F.count_if("t = 1 and p = 0").alias("fn"), F.count_if("t = p").alias("right"), F.count(F.lit(1)).alias("n"))
+    c = both.agg(F.count_if(F.expr("t = 1 and p = 1")).alias("tp"), F.count_if(F.expr("t = 0 and p = 1")).alias("fp"), F.count_if(F.expr("t = 1 and p = 0")).alias("fn"), F.count_if(F.expr("t = p")).alias("right"), F.count(F.lit(1)).alias("n"))
     p, r = share(F.col("tp"), F.col("tp") + F.col("fp")), share(F.col("tp"), F.col("tp") + F.col("fn"))
     return c.select(F.round(share(F.col("right"), F.col("n")), 6).alias("accuracy"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r)), 6).alias("f1"))

@@ -121,15 +121,17 @@ def mismatch(claimed: Column, host: Column) -> Column:
 def redirect_target(url: Column) -> Column:
     """The link inside a redirecting parameter, percent- or base64-encoded; parameters are tried in a fixed order."""
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    tries = []
-    for name in REDIRECT_PARAMETERS:
-        raw = F.regexp_extract(query, rf"(?:^|&){name}=([^&]+)", 1)
-        value = F.try_url_decode(F.when(raw != "", raw))
+    raw = F.array(*[F.regexp_extract(query, rf"(?:^|&){name}=([^&]+)", 1) for name in REDIRECT_PARAMETERS])
+
+    def target(value: Column) -> Column:
         plain = F.translate(value, "-_", "+/")
         padded = F.rpad(plain, ((F.length(plain) + 3) / 4).cast("int") * 4, "=")
         decoded = F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
-        tries.append(F.when(value.rlike(_LOOKS_LIKE_URL), value).when(decoded.rlike(_LOOKS_LIKE_URL), decoded))
-    return F.when(url.contains("?"), F.coalesce(*tries))
+        return F.when(value.rlike(_LOOKS_LIKE_URL), value).when(decoded.rlike(_LOOKS_LIKE_URL), decoded)
+
+    # one lambda over the parameters keeps the generated code small
+    values = F.transform(F.filter(raw, lambda v: v != ""), lambda v: target(F.try_url_decode(v)))
+    return F.when(url.contains("?"), F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0)))
 
 
 def analyse(links: DataFrame) -> DataFrame:

@@ -94,3 +94,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_objects, p1_bridge, p3_found, p3_kept, p4_found, p4_instants)}
+
+ORACLE_SQL = {
+    "p3_found": """
+WITH k AS (SELECT id, created_at, lower(sha256) AS sha, CASE WHEN json_valid(meta_json) THEN regexp_replace(json_extract_string(CASE WHEN json_type(meta_json) = 'VARCHAR' THEN json_extract_string(meta_json, '$') ELSE meta_json END, '$.message_id'), '^[\\s<>]+|[\\s<>]+$', '', 'g') END AS mid FROM analyses),
+g AS (SELECT id, created_at, CASE WHEN coalesce(mid, '') = '' THEN 's:' || sha WHEN contains(mid, '@') THEN 'm:' || regexp_replace(mid, '[^@]*$', '') || lower(regexp_extract(mid, '([^@]*)$', 1)) ELSE 'm:' || mid END AS key FROM k)
+SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY key ORDER BY created_at, id) AS n FROM g) WHERE n > 1""",
+}
