@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,21 +70,29 @@ def em_posteriors(counts: list[tuple[tuple[str, ...], int]], prior: dict[str, fl
 
 
 def fit_mixtures(read: DataFrame, declared_weight: float) -> DataFrame:
-    """(source, formats, best, posterior) for each set of formats that leaves a choice."""
+    """(source, formats, best, posterior) for each set of formats that leaves a choice.
+
+    Counts are gathered per source, as many as it has sets of formats; sources without a choice drop out
+    before Python sees them.
+    """
     counts = read.where(F.size("formats") > 0).groupBy("source", "formats").agg(F.count(F.lit(1)).alias("n"), F.max("date_order").alias("date_order"))
+    gathered = counts.groupBy("source").agg(F.collect_list(F.struct("formats", "n")).alias("counts"), F.max("date_order").alias("declared"), F.max(F.size("formats")).alias("most")).where("most > 1")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [tuple(x) for x in pdf["formats"]]
-        declared = next((x for x in pdf["date_order"] if x in ORDERS), None)
-        posterior = em_posteriors(list(zip(sets, pdf["n"])), {declared: declared_weight} if declared else {})
-        rows = []
-        for s in sets:
-            if len(s) > 1:
-                best = max(s, key=lambda f: posterior[s][f])
-                rows.append((pdf["source"].iloc[0], list(s), best, posterior[s][best]))
-        return pd.DataFrame(rows, columns=["source", "formats", "best", "posterior"])
-
-    return counts.groupBy("source").applyInPandas(fit, "source string, formats array<string>, best string, posterior double")
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for source, counts, declared in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                sets = sorted((tuple(c["formats"]), c["n"]) for c in counts)
+                posterior = em_posteriors(sets, {declared: declared_weight} if declared in ORDERS else {})
+                for formats, _ in sets:
+                    if len(formats) > 1:
+                        best = max(formats, key=lambda f: posterior[formats][f])
+                        rows.append((source, list(formats), best, posterior[formats][best]))
+            columns = list(zip(*rows)) or [()] * 4
+            types = [pa.string(), pa.list_(pa.string()), pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["source", "formats", "best", "posterior"])
+
+    return gathered.select("source", "counts", "declared").mapInArrow(fit, "source string, formats array<string>, best string, posterior double")
 
 
 def normalise(df: DataFrame, *, raw: str, declared_weight: float = 1e6, sure: float = 0.9) -> DataFrame:
