@@ -2,6 +2,7 @@
 
 Each micro-batch goes through the same parsing as a batch and is written under its batch number, so a
 batch that is run again after a crash overwrites what it wrote. Files are keyed by digest and name.
+Spark's file stream passes over files without any bytes, so these are in neither list.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from relayscope.config import MAX_UPLOAD_BYTES
 from relayscope.sources.messages import parse, validated
 
 _FILE = "path string, modificationTime timestamp, length bigint, content binary"
@@ -24,11 +26,11 @@ def incoming(spark: SparkSession, folder: str, pattern: str = "*.eml", files_per
     return stream.select(name.alias("filename"), "content", F.concat(F.substring(F.sha2("content", 256), 1, 16), F.lit("-"), name).alias("msg_id"))
 
 
-def analyse(stream: DataFrame, out: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def analyse(stream: DataFrame, out: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, most: int = MAX_UPLOAD_BYTES) -> StreamingQuery:
     """Parse accepted messages to ``out/messages`` and list the others in ``out/rejected``; ``then`` gets each parsed batch."""
 
     def one(batch: DataFrame, number: int) -> None:
-        accepted, rejected = validated(batch)
+        accepted, rejected = validated(batch, most)
         parsed = parse(accepted, "msg_id")
         parsed.write.mode("overwrite").parquet(f"{out}/messages/batch={number}")
         rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
