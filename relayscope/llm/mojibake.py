@@ -46,9 +46,9 @@ PAIRS = (
 
 # --- the clean state -------------------------------------------------------------------------------
 
-SPACE, DIGIT, LOWER, UPPER, ALOWER, AUPPER, CLOWER, CUPPER, GLOWER, GUPPER, PUNCT, NICE, PICTURE, HIDDEN, ODD, OTHER = range(16)
+SPACE, DIGIT, LOWER, UPPER, ALOWER, AUPPER, CLOWER, CUPPER, GLOWER, GUPPER, PUNCT, NICE, PICTURE, HIDDEN, ODD, OTHER, GFINAL = range(17)
 #: Cost (negative log-likelihood) of a character by its class.
-_COST = {SPACE: 2.0, DIGIT: 3.0, LOWER: 2.9, UPPER: 3.6, ALOWER: 5.0, AUPPER: 6.5, CLOWER: 3.2, CUPPER: 4.2, GLOWER: 3.4, GUPPER: 4.4, PUNCT: 4.0, NICE: 6.0, PICTURE: 7.0, HIDDEN: 8.0, ODD: 11.0, OTHER: 8.0}
+_COST = {SPACE: 2.0, DIGIT: 3.0, LOWER: 2.9, UPPER: 3.6, ALOWER: 5.0, AUPPER: 6.5, CLOWER: 3.2, CUPPER: 4.2, GLOWER: 3.4, GUPPER: 4.4, PUNCT: 4.0, NICE: 6.0, PICTURE: 7.0, HIDDEN: 8.0, ODD: 11.0, OTHER: 8.0, GFINAL: 3.4}
 
 # Accented letters that are usual in European languages, and signs that are usual in mail.
 _USUAL = set("éèàçêôûîâùëïœæÉÈÀÇÊÔÛÎÂÙËÏŒÆüöäßÜÖÄñóíáú¿¡ÑÓÍÁÚãõÃÕøåØÅłşışğřčžšýżźćńęąőűŁŞĞİŘČŽŠÝŻŹĆŃĘĄŐŰðþÞòìÒÌ")
@@ -77,6 +77,8 @@ def char_class(ch: str) -> int:
         upper = kind in ("Lu", "Lt")
         if 0x400 <= o < 0x530:
             return CUPPER if upper else CLOWER
+        if ch == "ς":
+            return GFINAL
         if 0x370 <= o < 0x400:
             return GUPPER if upper else GLOWER
         if o < 0x250:
@@ -89,10 +91,10 @@ def char_class(ch: str) -> int:
     return ODD if kind in ("Sm", "Sc", "Cc", "Cn", "Co") else OTHER
 
 
-_LETTERS = frozenset((LOWER, UPPER, ALOWER, AUPPER, CLOWER, CUPPER, GLOWER, GUPPER, OTHER))
-_SCRIPT = {LOWER: 1, UPPER: 1, ALOWER: 1, AUPPER: 1, CLOWER: 2, CUPPER: 2, GLOWER: 3, GUPPER: 3}
+_LETTERS = frozenset((LOWER, UPPER, ALOWER, AUPPER, CLOWER, CUPPER, GLOWER, GUPPER, GFINAL, OTHER))
+_SCRIPT = {LOWER: 1, UPPER: 1, ALOWER: 1, AUPPER: 1, CLOWER: 2, CUPPER: 2, GLOWER: 3, GUPPER: 3, GFINAL: 3}
 _UPPERS = frozenset((UPPER, AUPPER, CUPPER, GUPPER))
-_LOWERS = frozenset((LOWER, ALOWER, CLOWER, GLOWER))
+_LOWERS = frozenset((LOWER, ALOWER, CLOWER, GLOWER, GFINAL))
 
 
 @lru_cache(maxsize=65536)
@@ -107,13 +109,15 @@ def clean_cost(before: int, ch: str) -> float:
             cost += 1.0
         if before in (ALOWER, AUPPER):
             cost += 2.5  # accented letters seldom follow each other
-    elif kind in (CLOWER, CUPPER, GLOWER, GUPPER):
+    elif kind in (CLOWER, CUPPER, GLOWER, GUPPER, GFINAL):
         share = _SHARE.get(ch.lower(), 0.02)
         cost += 1.6 - min(1.6, max(-3.0, 0.7 * (share - 2) if share < 2 else 0.25 * (share - 2)))
         if share <= 0.02:
             cost += 3.5
     if ch == LOST:
         cost -= 6.0  # inside a garbled stretch a lost character is nothing odd
+    if before == GFINAL and kind in _LETTERS:
+        cost += 6.0  # a final letter ends the word
     if kind in _LETTERS and before in _LETTERS:
         if kind in _UPPERS and before in _LOWERS:
             cost += 4.5
