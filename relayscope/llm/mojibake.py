@@ -40,8 +40,6 @@ PAIRS = (
     ("koi8-r", "cp1251"),
     ("cp1251", "koi8-r"),
     ("cp1253", "cp1252"),
-    ("cp1252", "mac_roman"),
-    ("mac_roman", "cp1252"),
 )
 
 # --- the clean state -------------------------------------------------------------------------------
@@ -133,6 +131,22 @@ def clean_cost(before: int, ch: str) -> float:
 # --- the garbled states ----------------------------------------------------------------------------
 
 _ENTER, _STAY, _LEAVE, _INSIDE = 7.0, 0.05, 0.7, 5.0
+_FOREIGN = 6.0  # a stretch of one script right beside letters of another; look-alike letters do that
+_UNLIKELY = 8.0  # a right character that mail seldom has
+_LIKELY_SIGNS = set("–—’‘“”„€£§º°ª¿¡«»…№™©®•·✅‼ " + LOST)
+
+
+def _right_cost(before: int, ch: str, enters: bool, again: bool) -> float:
+    """Cost of the character that a garbled stretch stands for; ``again``: it may itself be garbled."""
+    kind = char_class(ch)
+    cost = clean_cost(before, ch)
+    if not again and kind in (HIDDEN, ODD, OTHER, NICE, PICTURE) and ch not in _LIKELY_SIGNS and not (kind == PICTURE and ord(ch) > 0x1F000):
+        cost += _UNLIKELY
+    elif kind in (ALOWER, AUPPER) and ch not in _USUAL:
+        cost += _UNLIKELY / 2
+    if enters and kind in _SCRIPT and before in _SCRIPT and _SCRIPT[kind] != _SCRIPT[before]:
+        cost += _FOREIGN
+    return cost
 
 
 class _Pair(NamedTuple):
@@ -206,14 +220,14 @@ def viterbi(text: str) -> list[Label]:
         here = [(s, r) for s, r in enumerate(row) if r is not None]
         if not here:
             continue
-        if len(here) > 4:
-            here.sort(key=lambda x: x[1][0])
-            here = here[:4]
         # stretches seldom begin or end between two letters of a foreign word
         inside = _INSIDE if i and not plain and text[i - 1] > "\x7f" and text[i - 1].isalpha() and ch.isalpha() else 0.0
         units = [] if plain else [(k + 1, u) for k, p in enumerate(pairs) if (u := _unit(p, text, i)) is not None]
         for s, (cost, before, _, _, _) in here:
-            c = cost + clean_cost(before, ch) + (_LEAVE + inside if s else 0.0)
+            c = cost + clean_cost(before, ch)
+            if s:
+                kind = char_class(ch)
+                c += _LEAVE + inside + (_FOREIGN if kind in _SCRIPT and before in _SCRIPT and _SCRIPT[kind] != _SCRIPT[before] else 0.0)
             old = best[i + 1][0]
             if old is None or c < old[0]:
                 best[i + 1][0] = (c, char_class(ch), i, s, ch)
@@ -223,7 +237,7 @@ def viterbi(text: str) -> list[Label]:
                 if old is None or c < old[0]:
                     best[i + 1][s] = (c, char_class(ch), i, s, ch)
             for t, (size, right) in units:
-                c = cost + clean_cost(before, right) + (_STAY if s == t else _ENTER + inside + (_LEAVE + _INSIDE if s else 0.0))
+                c = cost + _right_cost(before, right, s != t, t == 1) + (_STAY if s == t else _ENTER + inside + (_LEAVE + _INSIDE if s else 0.0))
                 old = best[i + size][t]
                 if old is None or c < old[0]:
                     best[i + size][t] = (c, char_class(right), i, s, right)

@@ -37,10 +37,9 @@ KINDS = ("person_name", "email", "phone", "id_number", "street_address")
 
 
 @lru_cache(maxsize=1)
-def _looks() -> tuple[dict[str, str], dict[str, str]]:
-    """(what single characters look like, Latin doubles of letters)."""
-    doubles = {p: q for p, target, q, _ in lookalikes._tables()[2] if target == "L"}
-    return {}, doubles
+def _doubles() -> dict[str, str]:
+    """Latin doubles of letters."""
+    return {p: q for p, target, q, _ in lookalikes._tables()[2] if target == "L"}
 
 
 @lru_cache(maxsize=8192)
@@ -53,14 +52,16 @@ def ordinary(text: str) -> tuple[str, list[int]]:
     """``text`` in ordinary spelling, and for each character the place it comes from (one more for the end)."""
     if text.isascii():
         return text, list(range(len(text) + 1))
-    doubles = _looks()[1]
+    doubles = _doubles()
     out: list[str] = []
     at: list[int] = []
     for i, ch in enumerate(text):
         for x in _ordinary(ch) if ch > "\x7e" else ch:
             out.append(x)
             at.append(i)
-    # a letter with a Latin double is read as Latin in a word with Latin letters of its own
+    # a letter with a Latin double is read as Latin in a word, or failing that a value, with Latin letters of its own
+    own = [lookalikes._script(x) == "L" and x not in doubles for x in out]
+    somewhere = any(own)
     n, i = len(out), 0
     while i < n:
         j = i
@@ -68,7 +69,7 @@ def ordinary(text: str) -> tuple[str, list[int]]:
             j += 1
         if j > i:
             word = out[i:j]
-            if any(x in doubles for x in word) and any("a" <= x.lower() <= "z" for x in word):
+            if any(x in doubles for x in word) and (any(own[i:j]) or somewhere and all(x in doubles or unicodedata.combining(x) for x in word)):
                 out[i:j] = [doubles.get(x, x) for x in word]
         i = max(j, i + 1)
     at.append(len(text))
@@ -77,7 +78,7 @@ def ordinary(text: str) -> tuple[str, list[int]]:
 
 # --- what words are -----------------------------------------------------------------------------------
 
-BITS = 1 << 22
+BITS = 1 << 24
 _SPECIAL = str.maketrans({"ø": "o", "ł": "l", "ı": "i", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "’": "", "'": "", "-": ""})
 
 
@@ -128,6 +129,9 @@ class NameKnowledge:
         return lost == 1 and any(test(token.replace(mojibake.LOST, c + d)) for c in letters for d in letters)
 
 
+_PAGE = 32768  # bits of one page of Spark's bitmap aggregate
+
+
 def _bits(places: list[int]) -> bytes:
     out = bytearray(BITS // 8)
     for p in places:
@@ -141,8 +145,8 @@ _PERSONAL = r"(?i)(?<![a-z0-9.+_-])([a-z]{3,20})[._]([a-z]{3,24})\d{0,4}@"
 def name_knowledge(texts: DataFrame, columns: list[str]) -> NameKnowledge:
     """Given and family names out of personal addresses (given.family@) in the text ``columns``.
 
-    A word counts if it has at least two partners, which role addresses seldom have. At most ``BITS``
-    places come back to the driver, however many names there are.
+    A word counts if it has at least two partners, which role addresses seldom have. Two bit sets of
+    ``BITS`` bits, put together by Spark page by page, come back to the driver, however many names there are.
     """
     found = None
     for c in columns:
@@ -152,12 +156,16 @@ def name_knowledge(texts: DataFrame, columns: list[str]) -> NameKnowledge:
     roles = sorted(ROLES)
     pairs = found.where(~F.col("g").isin(roles) & ~F.col("f").isin(roles)).distinct()
 
-    def places(word: str, partner: str) -> list[int]:
+    def bits(word: str, partner: str) -> bytes:
         words = pairs.groupBy(word).agg(F.min(partner).alias("a"), F.max(partner).alias("b")).where("a <> b").select(F.col(word).alias("w"))
-        at = words.select(F.explode(F.array(F.crc32(F.col("w")) % BITS, F.crc32(F.concat(F.lit("#"), F.col("w"))) % BITS)).alias("p")).distinct()
-        return [r[0] for r in at.collect()]
+        at = words.select(F.explode(F.array(F.crc32(F.col("w")) % BITS, F.crc32(F.concat(F.lit("#"), F.col("w"))) % BITS)).alias("p"))
+        paged = at.groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
+        out = bytearray(BITS // 8)
+        for r in paged.collect():  # 512 pages of 4 KB at most
+            out[(r["page"] - 1) * _PAGE // 8 : r["page"] * _PAGE // 8] = r["bits"]
+        return bytes(out)
 
-    return NameKnowledge(_bits(places("g", "f")), _bits(places("f", "g")))
+    return NameKnowledge(bits("g", "f"), bits("f", "g"))
 
 
 # Given names that are common somewhere in Europe, America, Africa or Asia, without accents.
@@ -301,7 +309,7 @@ _STREET_EN = r"(?:street|road|lane|avenue|drive|court|crescent|close|way|place|s
 _STREET_DE = r"(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer|ring|damm|steig|markt|chaussee)"
 _STREET_FR = r"(?:rue|avenue|av\.|bd|boulevard|place|chemin|allée|impasse|quai|route|cours|passage|square|faubourg)"
 _STREET_ES = r"(?:calle|c/|avenida|avda\.|plaza|paseo|camino|carrera|ronda|rua|travessa|via|viale|piazza|corso)"
-_TOWN = r"(?:,?\s+\d{4,5}(?:\s+[A-ZÀ-Þ][\w’'-]+(?:\s+[A-ZÀ-Þ][\w’'-]+)?)?|,\s+[A-ZÀ-Þ][\w’'-]+(?:\s+[A-ZÀ-Þ][\w’'-]+)?(?:\s+\d{4,5})?)?"
+_TOWN = r"(?:,?[ ]\d{4,5}(?:[ ][A-ZÀ-Þ][\w’'-]+(?:[ ][A-ZÀ-Þ][\w’'-]+)?)?|,[ ][A-ZÀ-Þ][\w’'-]+(?:[ ][A-ZÀ-Þ][\w’'-]+)?(?:[ ]\d{4,5})?)?"
 _ADDRESS = re.compile(
     r"(?<![\w./#-])(?:"
     rf"(?i:(?:(?:flat|apt\.?|apartment|unit|suite)\s?\d{{1,4}}[a-z]?,\s*)?\d{{1,4}}[a-z]?,?\s+(?:[^\W\d_][\w’'-]*\s+){{1,4}}?{_STREET_EN})\b(?:,\s*(?:Apt|Flat|Unit|Suite)\.?\s?\d{{1,4}}[a-z]?)?{_TOWN}"
