@@ -52,6 +52,7 @@ _COST = {SPACE: 2.0, DIGIT: 3.0, LOWER: 2.9, UPPER: 3.6, ALOWER: 5.0, AUPPER: 6.
 _USUAL = set("éèàçêôûîâùëïœæÉÈÀÇÊÔÛÎÂÙËÏŒÆüöäßÜÖÄñóíáú¿¡ÑÓÍÁÚãõÃÕøåØÅłşışğřčžšýżźćńęąőűŁŞĞİŘČŽŠÝŻŹĆŃĘĄŐŰðþÞòìÒÌ")
 _RARE_USUAL = set("ÃÂÐÅÄÆØÞãðþòìÌÒß")
 _NICE = set("–—’‘“”€£§º°ª¿¡«»…№™©®·•´×±²³½¼¾µ")
+_DISGUISES = set("іѕјһӏԁԛԝЅІЈҮ")  # letters outside Russian that pass for Latin ones
 # Share of each letter in Russian text, in percent.
 _RUSSIAN = "о 11 е 8.5 а 8 и 7.4 н 6.7 т 6.3 с 5.5 р 4.7 в 4.5 л 4.3 к 3.5 м 3.2 д 3 п 2.8 у 2.6 я 2 ы 1.9 ь 1.7 г 1.7 з 1.6 б 1.6 ч 1.4 й 1.2 х 1 ж 0.9 ш 0.7 ю 0.6 ц 0.5 щ 0.4 э 0.3 ф 0.3 ъ 0.04 ё 0.3"
 # Share of each letter in Greek text, in percent.
@@ -111,7 +112,7 @@ def clean_cost(before: int, ch: str) -> float:
         share = _SHARE.get(ch.lower(), 0.02)
         cost += 1.6 - min(1.6, max(-3.0, 0.7 * (share - 2) if share < 2 else 0.25 * (share - 2)))
         if share <= 0.02:
-            cost += 3.5
+            cost += 1.0 if ch in _DISGUISES else 3.5
     if ch == LOST:
         cost -= 6.0  # inside a garbled stretch a lost character is nothing odd
     if before == GFINAL and kind in _LETTERS:
