@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -10,9 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+def reach(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, if that place exists there.
+
+    A cluster whose machines don't share it gets the package by ``--py-files`` or an installation.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = root + (os.pathsep + known if known else "")
+    return spark
+
+
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "relayscope") -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own."""
-    return (
+    return reach(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relayscope.config import MAX_UPLOAD_BYTES, OLE_MAGIC, REQUIRED_HEADERS
+from relayscope.session import reach
 
 PARSED = (
     "filename string, sha256 string, source_format string, from_display_name string, from_address string, to_addresses array<string>, subject string, "
@@ -208,6 +209,7 @@ def parse(df: DataFrame, key: str = "filename", name: str = "filename", content:
     """``msg_id`` (from ``key``) and the parsed fields of each message."""
     from datetime import UTC
 
+    reach(df.sparkSession)
     narrow = df.select(F.col(key).cast("string").alias("msg_id"), F.col(name).alias("_name"), F.col(content).alias("_content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

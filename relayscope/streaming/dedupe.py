@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from relayscope.session import fresh_path
+from relayscope.session import fresh_path, reach
 
 LOG_SCHEMA = "kind string, key string, at long, id string"
 _LAST = np.iinfo(np.int64).max  # a null time
@@ -132,6 +132,7 @@ def run_dedupe(
     used. After a crash the same call goes on where the last committed micro-batch ended.
     ``buckets``: state values; take about one per 100 000 identifiers within ``delay``.
     """
+    reach(spark)
     work = work or fresh_path(spark, "deliveries")
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
