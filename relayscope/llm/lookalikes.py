@@ -74,6 +74,7 @@ Z Ζ
 """
 # The doubles that are letters of everyday Cyrillic or Greek, so may be meant as such.
 _EVERYDAY = set("асеіјорѕухАВСЕНІЈКМОРЅТХгЬαικνορυχγςΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
+_WEAK = set("гЬγυ")  # of these, the ones that pass for Latin but aren't passed for by it
 #: Decompositions by these tags change only the look.
 _LOOK_TAGS = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<small>", "<circle>"}
 # Latin ligatures, and hyphens and spaces that are not the ordinary ones.
@@ -124,7 +125,7 @@ def _tables() -> tuple[list[tuple], list[tuple], list[tuple]]:
         for other in others:
             doubles[other] = (latin, other in _EVERYDAY)
             script = _script(other)
-            if other in _EVERYDAY and script and (script, latin) not in back:
+            if other in _EVERYDAY and other not in _WEAK and script and (script, latin) not in back:
                 back[(script, latin)] = other
     points, compositions = [], []
     for o in range(sys.maxunicode + 1):

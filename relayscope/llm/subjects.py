@@ -214,7 +214,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, key: str, text: str,
     votes = labels.where(F.col(key).isNotNull() & F.col(area).isNotNull()).distinct().groupBy(key, area).agg(F.count(F.lit(1)).alias("n"))
     per_doc = votes.groupBy(key).agg(F.collect_list(F.struct(F.col(area).alias("area"), "n")).alias("votes"))
     chosen = per_doc.orderBy(F.xxhash64(key), key).limit(most)
-    rows = docs.where(F.col(text).isNotNull()).select(key, text).join(chosen, key).collect()
+    rows = docs.where(F.col(text).isNotNull()).select(key, text).join(F.broadcast(chosen), key).collect()  # ``most`` keys at most
     merged: dict[str, Counter[str]] = defaultdict(Counter)  # copies of a text are one document
     for r in rows:
         merged[r[text]].update({v["area"]: v["n"] for v in r["votes"]})
