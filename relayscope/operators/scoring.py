@@ -32,32 +32,59 @@ def weight_of(group: str, key: Column, default: int | None = None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def _factor(df: DataFrame, part: int, ordinal: Column, name: Column, weight: Column, evidence: Column, category: str) -> DataFrame:
-    made = df.select("msg_id", F.lit(part).alias("part"), ordinal.cast("int").alias("ordinal"), name.alias("name"), weight.cast("int").alias("weight"), evidence.cast("string").alias("evidence"), F.lit(category).alias("category"))
-    return made.where("weight <> 0")
+def _factor(part: int, ordinal: Column, name: Column, weight: Column, evidence: Column, category: str) -> Column:
+    return F.struct(F.lit(part).alias("part"), ordinal.cast("int").alias("ordinal"), name.alias("name"), weight.cast("int").alias("weight"), evidence.cast("string").alias("evidence"), F.lit(category).alias("category"))
+
+
+def _emit(df: DataFrame, factors: Column) -> DataFrame:
+    """One row for each factor of a row's array that is there and weighs something; the rows are read once."""
+    kept = F.filter(factors, lambda f: f.isNotNull() & (f["weight"] != 0))
+    return df.select("msg_id", F.explode(kept).alias("f")).select("msg_id", "f.*")
 
 
 def auth_factors(messages: DataFrame) -> DataFrame:
     """Of (msg_id, spf_result, dkim_result, dmarc_result, dmarc_policy, and *_segment as evidence if there)."""
     shown = lambda m: F.col(f"{m}_segment") if f"{m}_segment" in messages.columns else F.concat(F.lit(f"{m}="), F.col(f"{m}_result"))
     zero = F.lit(0)
-    spf = _factor(messages, 0, zero, F.concat(F.lit("SPF "), F.col("spf_result")), weight_of("spf", F.col("spf_result")), shown("spf"), "authentication")
-    dkim = _factor(messages, 1, zero, F.concat(F.lit("DKIM "), F.col("dkim_result")), weight_of("dkim", F.col("dkim_result")), shown("dkim"), "authentication")
+    spf = _factor(0, zero, F.concat(F.lit("SPF "), F.col("spf_result")), weight_of("spf", F.col("spf_result")), shown("spf"), "authentication")
+    dkim = _factor(1, zero, F.concat(F.lit("DKIM "), F.col("dkim_result")), weight_of("dkim", F.col("dkim_result")), shown("dkim"), "authentication")
     policy = weight_of("dmarc_fail", F.col("dmarc_policy"), WEIGHTS["dmarc_fail"]["unknown"])
-    dmarc = _factor(messages.where("dmarc_result = 'fail'"), 2, zero, F.concat(F.lit("DMARC fail (policy="), F.coalesce("dmarc_policy", F.lit("unknown")), F.lit(")")), policy, shown("dmarc"), "authentication")
-    return spf.unionAll(dkim).unionAll(dmarc)
+    dmarc = _factor(2, zero, F.concat(F.lit("DMARC fail (policy="), F.coalesce("dmarc_policy", F.lit("unknown")), F.lit(")")), F.when(F.col("dmarc_result") == "fail", policy), shown("dmarc"), "authentication")
+    return _emit(messages, F.array(spf, dkim, dmarc))
 
 
 def anomaly_factors(anomalies: DataFrame) -> DataFrame:
     """Of (msg_id, ordinal, severity, summary, evidence)."""
-    return _factor(anomalies, 3, F.col("ordinal"), F.col("summary"), weight_of("severity", F.col("severity")), F.col("evidence"), "relay_chain")
+    return _emit(anomalies, F.array(_factor(3, F.col("ordinal"), F.col("summary"), weight_of("severity", F.col("severity")), F.col("evidence"), "relay_chain")))
+
+
+def _phishing(source: Column, probability: Column) -> Column:
+    evidence = F.concat(F.lit("model-estimated phishing probability "), F.bround(probability * 100, 0).cast("int").cast("string"), F.lit("%"))
+    fires = (source == "onnx-model") & (probability >= PHISHING_THRESHOLD)
+    return _factor(4, F.lit(0), F.lit("Phishing classifier flagged this message"), F.when(fires, PHISHING_WEIGHT), evidence, "phishing_classifier")
+
+
+def _ai_text(source: Column, flag: Column) -> Column:
+    return _factor(8, F.lit(0), F.lit("Email body reads as unusually predictable to a reference language model"), F.when((source == "onnx-model") & flag, LOW_PERPLEXITY_WEIGHT), F.lit("a weak, informational signal only"), "ai_text")
+
+
+def _url(ordinal: Column, raw_url: Column, literal: Column, claim: Column, new: Column) -> Column:
+    at = ordinal * 3
+    return F.array(
+        _factor(6, at, F.lit("Link uses a bare IP address instead of a domain"), F.when(literal, IP_LITERAL_WEIGHT), raw_url, "url_analysis"),
+        _factor(6, at + 1, F.lit("Link text claims a different domain than its destination"), F.when(claim, ANCHOR_MISMATCH_WEIGHT), raw_url, "url_analysis"),
+        _factor(6, at + 2, F.lit("Link points to a newly registered domain"), F.when(new, NEW_DOMAIN_WEIGHT), raw_url, "url_analysis"),
+    )
 
 
 def phishing_factors(signals: DataFrame) -> DataFrame:
     """Of (msg_id, phishing_source, phishing_probability)."""
-    hit = signals.where((F.col("phishing_source") == "onnx-model") & (F.col("phishing_probability") >= PHISHING_THRESHOLD))
-    evidence = F.concat(F.lit("model-estimated phishing probability "), F.bround(F.col("phishing_probability") * 100, 0).cast("int").cast("string"), F.lit("%"))
-    return _factor(hit, 4, F.lit(0), F.lit("Phishing classifier flagged this message"), F.lit(PHISHING_WEIGHT), evidence, "phishing_classifier")
+    return _emit(signals, F.array(_phishing(F.col("phishing_source"), F.col("phishing_probability"))))
+
+
+def ai_text_factors(signals: DataFrame) -> DataFrame:
+    """Of (msg_id, ai_text_source, low_perplexity_flag)."""
+    return _emit(signals, F.array(_ai_text(F.col("ai_text_source"), F.col("low_perplexity_flag"))))
 
 
 def lookalike_factors(found: DataFrame, where: str) -> DataFrame:
@@ -67,26 +94,31 @@ def lookalike_factors(found: DataFrame, where: str) -> DataFrame:
     """
     part, group = (5, "sender_lookalike") if where == "sender" else (7, "url_lookalike")
     context = F.lit("Sender address") if where == "sender" else F.concat(F.lit("Link to "), F.col("domain"))
-    plain = _factor(found, part, F.col("ordinal") * 2, F.concat(context, F.lit(" looks like "), F.col("brand")), weight_of(group, F.col("method")), F.col("detail"), "lookalike_domain")
+    plain = _emit(found, F.array(_factor(part, F.col("ordinal") * 2, F.concat(context, F.lit(" looks like "), F.col("brand")), weight_of(group, F.col("method")), F.col("detail"), "lookalike_domain")))
     group_of = ["msg_id", "domain"] if where == "sender" else ["msg_id", "domain", "url_ordinal"]
     coded = found.where("is_punycode").groupBy(*group_of).agg(F.max("ordinal").alias("ordinal"))
-    bonus = _factor(coded, part, F.col("ordinal") * 2 + 1, F.concat(context, F.lit(" uses punycode/IDN encoding")), F.lit(PUNYCODE_BONUS), F.col("domain"), "lookalike_domain")
+    bonus = _emit(coded, F.array(_factor(part, F.col("ordinal") * 2 + 1, F.concat(context, F.lit(" uses punycode/IDN encoding")), F.lit(PUNYCODE_BONUS), F.col("domain"), "lookalike_domain")))
     return plain.unionAll(bonus)
 
 
 def url_factors(urls: DataFrame) -> DataFrame:
-    """Of (msg_id, ordinal, raw_url, host, is_ip_literal, anchor_text_mismatch, is_newly_registered)."""
-    at = F.col("ordinal") * 3
-    literal = _factor(urls.where("is_ip_literal"), 6, at, F.lit("Link uses a bare IP address instead of a domain"), F.lit(IP_LITERAL_WEIGHT), F.col("raw_url"), "url_analysis")
-    claim = _factor(urls.where("anchor_text_mismatch"), 6, at + 1, F.lit("Link text claims a different domain than its destination"), F.lit(ANCHOR_MISMATCH_WEIGHT), F.col("raw_url"), "url_analysis")
-    new = _factor(urls.where("is_newly_registered"), 6, at + 2, F.lit("Link points to a newly registered domain"), F.lit(NEW_DOMAIN_WEIGHT), F.col("raw_url"), "url_analysis")
-    return literal.unionAll(claim).unionAll(new)
+    """Of (msg_id, ordinal, raw_url, is_ip_literal, anchor_text_mismatch, is_newly_registered)."""
+    return _emit(urls, _url(F.col("ordinal"), F.col("raw_url"), F.col("is_ip_literal"), F.col("anchor_text_mismatch"), F.col("is_newly_registered")))
 
 
-def ai_text_factors(signals: DataFrame) -> DataFrame:
-    """Of (msg_id, ai_text_source, low_perplexity_flag)."""
-    hit = signals.where((F.col("ai_text_source") == "onnx-model") & F.col("low_perplexity_flag"))
-    return _factor(hit, 8, F.lit(0), F.lit("Email body reads as unusually predictable to a reference language model"), F.lit(LOW_PERPLEXITY_WEIGHT), F.lit("a weak, informational signal only"), "ai_text")
+def signal_factors(signals: DataFrame) -> DataFrame:
+    """Of (msg_id, s), the stored signals in nested form: all their factors in one pass over the record.
+
+    ``s``: sender_domain_lookalike (domain, is_punycode, matches), urls.urls, phishing, ai_text.
+    """
+    sender = F.col("s.sender_domain_lookalike")
+    matches = F.coalesce(sender["matches"], F.array().cast("array<struct<matched_brand:string,method:string,detail:string>>"))
+    looks = F.transform(matches, lambda m, i: _factor(5, i * 2, F.concat(F.lit("Sender address looks like "), m["matched_brand"]), weight_of("sender_lookalike", m["method"]), m["detail"], "lookalike_domain"))
+    bonus = _factor(5, F.size(matches) * 2, F.lit("Sender address uses punycode/IDN encoding"), F.when(sender["is_punycode"] & (F.size(matches) > 0), PUNYCODE_BONUS), sender["domain"], "lookalike_domain")
+    links = F.flatten(F.transform(F.col("s.urls.urls"), lambda u, i: _url(i, u["raw_url"], u["is_ip_literal"], u["anchor_text_mismatch"], u["is_newly_registered"])))
+    none = F.filter(F.array(bonus), lambda f: F.lit(False))
+    alone = F.array(_phishing(F.col("s.phishing.source"), F.col("s.phishing.phishing_probability")), bonus, _ai_text(F.col("s.ai_text.source"), F.col("s.ai_text.low_perplexity_flag")))
+    return _emit(signals, F.concat(alone, looks, F.coalesce(links, none)))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

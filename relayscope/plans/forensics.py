@@ -498,11 +498,7 @@ def flagged_urls(spark: SparkSession, folder: str) -> DataFrame:
 def _factors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     messages = table(spark, folder, "analyses").select(F.col("id").alias("msg_id"), "spf_result", "dkim_result", "dmarc_result", "dmarc_policy")
     odd = exports.numbered(_anomalies(spark, folder), "msg_id", "anomaly_id")
-    signals = _signals(spark, folder)
-    flat = signals.select("msg_id", F.col("s.phishing.source").alias("phishing_source"), F.col("s.phishing.phishing_probability").alias("phishing_probability"), F.col("s.ai_text.source").alias("ai_text_source"), F.coalesce("s.ai_text.low_perplexity_flag", F.lit(False)).alias("low_perplexity_flag"))
-    matched = signals.select("msg_id", F.col("s.sender_domain_lookalike.domain").alias("domain"), F.coalesce("s.sender_domain_lookalike.is_punycode", F.lit(False)).alias("is_punycode"), F.posexplode("s.sender_domain_lookalike.matches").alias("ordinal", "m"))
-    sender = matched.select("msg_id", "domain", "is_punycode", "ordinal", F.col("m.matched_brand").alias("brand"), "m.method", "m.detail")
-    found = scoring.union([scoring.auth_factors(messages), scoring.anomaly_factors(odd), scoring.phishing_factors(flat), scoring.lookalike_factors(sender, "sender"), scoring.url_factors(_stored_urls(spark, folder)), scoring.ai_text_factors(flat)])
+    found = scoring.union([scoring.auth_factors(messages), scoring.anomaly_factors(odd), scoring.signal_factors(_signals(spark, folder))])
     return messages, found
 
 
