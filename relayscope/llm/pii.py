@@ -101,20 +101,38 @@ class NameKnowledge:
     given: bytes
     family: bytes
 
+    def __post_init__(self) -> None:
+        self._known: dict[tuple[bool, str], bool] = {}
+
+    def _cached(self, given: bool, word: str, test) -> bool:
+        key = (given, word)
+        found = self._known.get(key)
+        if found is None:
+            if len(self._known) > 200_000:
+                self._known.clear()
+            found = self._known[key] = test(word)
+        return found
+
     @staticmethod
     def _has(bits: bytes, token: str) -> bool:
         return all(bits[p >> 3] >> (p & 7) & 1 for p in _places(token))
 
     def is_given(self, word: str) -> bool:
+        return self._cached(True, word, self._is_given)
+
+    def is_family(self, word: str) -> bool:
+        return self._cached(False, word, self._is_family)
+
+    def _is_given(self, word: str) -> bool:
         token = fold(word)
         if mojibake.LOST in token:
-            return self._any(token, self.is_given)
+            return self._any(token, self._is_given)
         return token in GIVEN or self._has(self.given, token)
 
-    def is_family(self, word: str) -> bool:
+    def _is_family(self, word: str) -> bool:
         token = fold(word)
         if mojibake.LOST in token:
-            return self._any(token, self.is_family)
+            return self._any(token, self._is_family)
         return len(token) > 2 and self._has(self.family, token)
 
     @staticmethod
@@ -156,16 +174,14 @@ def name_knowledge(texts: DataFrame, columns: list[str]) -> NameKnowledge:
     roles = sorted(ROLES)
     pairs = found.where(~F.col("g").isin(roles) & ~F.col("f").isin(roles)).distinct()
 
-    def bits(word: str, partner: str) -> bytes:
-        words = pairs.groupBy(word).agg(F.min(partner).alias("a"), F.max(partner).alias("b")).where("a <> b").select(F.col(word).alias("w"))
-        at = words.select(F.explode(F.array(F.crc32(F.col("w")) % BITS, F.crc32(F.concat(F.lit("#"), F.col("w"))) % BITS)).alias("p"))
-        paged = at.groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
-        out = bytearray(BITS // 8)
-        for r in paged.collect():  # 512 pages of 4 KB at most
-            out[(r["page"] - 1) * _PAGE // 8 : r["page"] * _PAGE // 8] = r["bits"]
-        return bytes(out)
-
-    return NameKnowledge(bits("g", "f"), bits("f", "g"))
+    both_ways = F.array(F.struct(F.lit(0).alias("side"), F.col("g").alias("w"), F.col("f").alias("p")), F.struct(F.lit(1).alias("side"), F.col("f").alias("w"), F.col("g").alias("p")))
+    words = pairs.select(F.explode(both_ways).alias("x")).select("x.*").groupBy("side", "w").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b")
+    at = words.select("side", F.explode(F.array(F.crc32(F.col("w")) % BITS, F.crc32(F.concat(F.lit("#"), F.col("w"))) % BITS)).alias("p"))
+    paged = at.groupBy("side", F.bitmap_bucket_number(F.col("p") + 1).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
+    sets = [bytearray(BITS // 8), bytearray(BITS // 8)]
+    for r in paged.collect():  # 2 x 512 pages of 4 KB at most
+        sets[r["side"]][(r["page"] - 1) * _PAGE // 8 : r["page"] * _PAGE // 8] = r["bits"]
+    return NameKnowledge(bytes(sets[0]), bytes(sets[1]))
 
 
 # Given names that are common somewhere in Europe, America, Africa or Asia, without accents.
