@@ -17,8 +17,8 @@ _WIDE = 256
 
 
 def range_join(df: DataFrame, ip: str, ranges: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with ``columns`` of the range (``low``, ``high``: numbers) that its address ``ip`` lies in."""
-    numbered = df.withColumn("_ip", ipv4_number(F.col(ip)))
+    """``df`` with ``columns`` of the range (``low``, ``high``: numbers) that its address ``ip`` lies in; columns it had by these names make way."""
+    numbered = df.drop(*columns).withColumn("_ip", ipv4_number(F.col(ip)))
     # each address is looked up once, however often it occurs
     wanted = numbered.select("_ip").where("_ip is not null").distinct()
     block = lambda c, size: F.floor(F.col(c) / size).cast("bigint")

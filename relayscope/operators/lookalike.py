@@ -38,6 +38,10 @@ def _idna(domains: pd.Series) -> pd.Series:
     return domains.map(decode)
 
 
+# filters on their results are not pushed below them, which would run them twice
+_idna = _idna.asNondeterministic()
+
+
 def decoded(domain: Column) -> Column:
     """Punycode resolved; null for other domains and for what can't be decoded."""
     return _idna(F.when(domain.contains("xn--"), domain))
@@ -79,6 +83,9 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+jaro_winkler = jaro_winkler.asNondeterministic()
+
+
 def brand_word(mark: Column, brand_label: Column) -> Column:
     """The first word of the skeleton's first label that is the brand's, give or take an edit; null unless the label has several words."""
     words = F.filter(F.split(F.substring_index(mark, ".", 1), "[-_]"), lambda w: w != "")

@@ -24,6 +24,8 @@ from relayscope.functions.stamps import readings
 from relayscope.session import materialize
 
 ORDERS = ("DMY", "MDY")
+_RESULTS = ("instant", "status", "format", "posterior")
+_WORKING = ("formats", "locals", "offsets", "best")
 _READ = "formats array<string>, locals array<bigint>, offsets array<int>"
 
 
@@ -100,9 +102,10 @@ def normalise(df: DataFrame, *, raw: str, declared_weight: float = 1e6, sure: fl
 
     ``df`` also has ``source`` (who wrote it, not null), ``zone`` (IANA name, used where none is
     written) and ``date_order`` (DMY, MDY or null). ``declared_weight``: pseudo-count of a declared
-    order. ``sure``: the least posterior at which a reading counts as chosen.
+    order. ``sure``: the least posterior at which a reading counts as chosen. Columns of ``df`` that are
+    called like one of the results, or like ``_WORKING``, make way for them.
     """
-    read = materialize(read_stamps(df, raw), "stamps")
+    read = materialize(read_stamps(df.drop(*(c for c in (*_WORKING, *_RESULTS) if c != raw)), raw), "stamps")
     fitted = fit_mixtures(read, declared_weight)
     joined = read.join(fitted, ["source", "formats"], "left")
     one = F.size("formats") == 1

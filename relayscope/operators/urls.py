@@ -145,8 +145,9 @@ def domain_ages(df: DataFrame, domain: str, intel: DataFrame | None, as_of: Colu
     """``df`` with registration_date, age_days, is_newly_registered and intel_source.
 
     ``intel`` (domain, registration_date) is an offline dimension; without it, or for domains it lacks,
-    the source is ``unavailable`` and newness null, not false.
+    the source is ``unavailable`` and newness null, not false. Columns called like a result make way.
     """
+    df = df.drop("registration_date")
     key = F.regexp_replace(F.trim(F.lower(F.col(domain))), r"\.+$", "")
     if intel is None:
         found = df.withColumn("registration_date", F.lit(None).cast("timestamp"))

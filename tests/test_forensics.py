@@ -177,7 +177,7 @@ def test_iocs_first_context_wins(spark):
 
 def test_range_join(spark):
     ranges = spark.createDataFrame([(0, 2**32 - 1, "all"), (16777216, 33554431, "one"), (16843008, 16843263, "inner"), (5, 1, "empty")], "low long, high long, network string")
-    df = spark.createDataFrame([("1.1.1.5",), ("1.1.1.5",), ("1.9.9.9",), ("9.9.9.9",), ("bad",), (None,)], "ip string")
+    df = spark.createDataFrame([(x, "clash") for x in ("1.1.1.5", "1.1.1.5", "1.9.9.9", "9.9.9.9", "bad", None)], "ip string, network string")
     rows = [(r["ip"], r["network"]) for r in geo.range_join(df, "ip", ranges, ["network"]).collect()]
     assert sorted(rows, key=str) == sorted([("1.1.1.5", "inner"), ("1.1.1.5", "inner"), ("1.9.9.9", "one"), ("9.9.9.9", "all"), ("bad", None), (None, None)], key=str)
 

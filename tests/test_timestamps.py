@@ -77,6 +77,12 @@ def test_zones_orders_and_status(spark):
     assert got["null"] == ("none", None)
 
 
+def test_clashing_columns_make_way(spark):
+    df = spark.createDataFrame([("h", "2024-01-01T00:00:00Z", None, None, "x", 1, "y")], "source string, raw string, zone string, date_order string, status string, formats int, best string")
+    row = normalise(df, raw="raw").first()
+    assert row["status"] == "stated" and row["instant"] == dt.datetime(2024, 1, 1) and "best" not in row.asDict()
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "source string, raw string, zone string, date_order string")
     assert normalise(df, raw="raw").count() == 0
