@@ -172,8 +172,9 @@ def plain_forms(values: DataFrame, key: list[str], value: str, unless: str | Non
     form still mixes scripts. ``key`` identifies a row; equal keys must have equal values. Rows whose
     boolean column ``unless`` is true are left out."""
     spark = values.sparkSession
+    named, key = key, [f"_key{i}" for i in range(len(key))]  # so that no column of the caller's meets one in here
     chosen = values.where(~F.col(unless)) if unless else values
-    rows = chosen.select(*key, F.col(value).alias("_v")).where(F.col("_v").rlike(_CANDIDATE)).distinct()
+    rows = chosen.select(*[F.col(n).alias(k) for n, k in zip(named, key)], F.col(value).alias("_v")).where(F.col("_v").rlike(_CANDIDATE)).distinct()
     # one exchange on the key serves every window and aggregation below
     exploded = rows.select(*key, F.posexplode(F.split("_v", "")).alias("pos", "ch"))
     points = F.broadcast(point_table(spark))  # about 5 000 rows, fixed by Unicode
@@ -226,4 +227,4 @@ def plain_forms(values: DataFrame, key: list[str], value: str, unless: str | Non
         F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("cluster", "text"))), lambda x: x["text"])).alias("plain"),
         (F.size(F.array_distinct(F.flatten(F.collect_list("s")))) > 1).alias("mixed"),
     )
-    return rebuilt
+    return rebuilt.select(*[F.col(k).alias(n) for n, k in zip(named, key)], "plain", "mixed")

@@ -322,7 +322,8 @@ def detect(df: DataFrame, fields: list[str], keep: list[str]) -> DataFrame:
 
 
 def mark(df: DataFrame, value: str) -> DataFrame:
-    """``df`` with ``garbled``, whether the column ``value`` is."""
+    """``df`` with ``garbled``, whether the column ``value`` is; a column it had by that name makes way."""
+    df = df.drop("garbled")
     at = df.columns.index(value)
     schema = ", ".join([*(f"`{name}` {kind}" for name, kind in df.dtypes), "garbled boolean"])
 

@@ -49,3 +49,8 @@ def test_nulls_ascii_long_and_mixed(spark):
 
 def test_empty_table(spark):
     assert forms(spark, []) == {}
+
+
+def test_keys_may_be_called_anything(spark):
+    df = spark.createDataFrame([("a", 1, "ｘ", True)], "text string, pos int, p string, garbled boolean")
+    assert [tuple(r) for r in lookalikes.plain_forms(df, ["text", "pos"], "p").collect()] == [("a", 1, "x", False)]
