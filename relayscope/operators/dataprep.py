@@ -39,6 +39,13 @@ def split(sample: DataFrame, train: float = 0.7, validation: float = 0.15) -> Da
     return placed.withColumn("part", part).drop("i", "n")
 
 
+def write_parts(parts: DataFrame, folder: str) -> None:
+    """The parts of ``split`` as CSV with a header, one folder each, in their shuffled order."""
+    for name in ("train", "validation", "test"):
+        rows = parts.where(F.col("part") == name).orderBy("key", "label", "text").select("text", "label")
+        rows.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}")
+
+
 def metrics(df: DataFrame, truth: Column, said: Column) -> DataFrame:
     """accuracy, precision, recall, f1; shares of nothing are 0. Rows with a null on either side don't count."""
     both = df.select(truth.cast("int").alias("t"), said.cast("int").alias("p")).where("t is not null and p is not null")

@@ -78,3 +78,20 @@ def generate(
 def from_bytes(df: DataFrame, key: str = "filename", **settings) -> Reports:
     """Reports of (filename, content)."""
     return generate(messages.parse(df, key), **settings)
+
+
+def analyses(reports: Reports) -> DataFrame:
+    """The flat row that a store keeps of each message."""
+    hops = reports.hops.groupBy("msg_id").agg(F.count(F.lit(1)).cast("int").alias("hop_count"))
+    odd = reports.anomalies.groupBy("msg_id").agg(F.count(F.lit(1)).cast("int").alias("anomaly_count"))
+    worst = anomalies.highest_severity(reports.anomalies).withColumnRenamed("highest_severity", "highest_anomaly_severity")
+    kept = ["msg_id", "filename", "sha256", "source_format", "parse_confidence", "from_display_name", "from_address", "subject", F.col("date_parsed").alias("message_date"), "spf_result", "dkim_result", "dmarc_result", "dmarc_policy", "dkim_signature_expired"]
+    flat = reports.messages.select(*kept).join(reports.risk.select("msg_id", F.col("score").alias("risk_score"), "verdict"), "msg_id")
+    joined = flat.join(hops, "msg_id", "left").join(odd, "msg_id", "left").join(worst, "msg_id", "left")
+    return joined.fillna(0, ["hop_count", "anomaly_count"])
+
+
+def save(reports: Reports, folder: str) -> None:
+    """Write the three stored tables. A second call with the same messages replaces what the first wrote."""
+    for name, df in (("analyses", analyses(reports)), ("hops", reports.hops), ("anomalies", reports.anomalies)):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")

@@ -148,3 +148,29 @@ def test_folder_stream_equals_batch(spark, tmp_path):
 
 def test_pasted(spark):
     assert messages.parse(messages.pasted(spark, ["From: a@b.test\n\n"])).first()["from_address"] == "a@b.test"
+
+
+def test_store_tables_are_replaced(spark, tmp_path):
+    for _ in range(2):
+        pipeline.save(pipeline.from_bytes(frame(spark, ("clean", CLEAN), ("forged", FORGED), ("none", None))), str(tmp_path))
+    rows = {r["msg_id"]: r for r in spark.read.parquet(str(tmp_path / "analyses.parquet")).collect()}
+    assert len(rows) == 3 and (rows["none"]["hop_count"], rows["none"]["anomaly_count"]) == (0, 0)
+    assert rows["forged"]["highest_anomaly_severity"] == "high" and rows["forged"]["hop_count"] == 2
+    assert spark.read.parquet(str(tmp_path / "hops.parquet")).count() == 4
+
+
+def test_parts_as_csv(spark, tmp_path):
+    df = spark.createDataFrame([(f'a "long" text, number {i}', i % 2, "s") for i in range(100)], "t string, y int, s string")
+    dataprep.write_parts(dataprep.split(dataprep.balanced_sample(df, "t", "y", "s", per_class=20)), str(tmp_path))
+    read = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "train"))
+    assert read.count() == 28 and read.where("text rlike '^a .long. text, number'").count() == 28
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from relayscope.__main__ import main
+
+    assert main([str(tmp_path / "missing.eml")]) == 1
+    (tmp_path / "a.eml").write_bytes(FORGED)
+    assert main([str(tmp_path / "a.eml")]) == 0 and "MALICIOUS" in capsys.readouterr().out
+    assert main([str(tmp_path), "--format", "json"]) == 0
+    assert json.loads(capsys.readouterr().out.strip())["verdict"] == "malicious"
