@@ -8,6 +8,8 @@ which a missing host doesn't excuse. Empty chains have no anomalies.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from relayscope.config import EARLIEST_YEAR, LARGE_GAP_SECONDS, MAX_HOPS, SEVERI
 from relayscope.functions.net import is_bogon, organisation_domain, plain_host
 
 def _iso(ts: Column) -> Column:
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    """UTC, whatever the session's zone is."""
+    return F.concat(F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
 
 def _s(column: str) -> Column:
@@ -43,7 +46,8 @@ def _delta() -> Column:
 
 
 def _impossible(before: int) -> Column:
-    return _said(F.year("timestamp") < before, 1, "impossible_timestamp", "medium", F.array("sequence"), F.concat(F.lit("Hop "), _s("sequence"), F.lit(" timestamp predates the internet email era")), F.concat(F.lit("Received timestamp parses to "), _iso(F.col("timestamp"))))
+    first = int(datetime(before, 1, 1, tzinfo=UTC).timestamp())
+    return _said(F.unix_seconds("timestamp") < first, 1, "impossible_timestamp", "medium", F.array("sequence"), F.concat(F.lit("Hop "), _s("sequence"), F.lit(" timestamp predates the internet email era")), F.concat(F.lit("Received timestamp parses to "), _iso(F.col("timestamp"))))
 
 
 def _negative() -> Column:

@@ -6,6 +6,7 @@ confidence. Chains of null or empty arrays have no hops.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
 
 import pandas as pd
@@ -59,17 +60,17 @@ def stamp_text(header: Column) -> Column:
 def mail_date(texts: pd.Series) -> pd.Series:
     """The standard library's reading of a mail date; -0000 and a missing zone are UTC, unreadable text is null."""
 
-    def read(text: str | None) -> pd.Timestamp | None:
+    def read(text: str | None) -> datetime | None:
         if text is None:
             return None
         try:
             found = parsedate_to_datetime(text)
-            stamp = pd.Timestamp(found)
-            return stamp.tz_convert("UTC").tz_localize(None) if stamp.tzinfo else stamp
+            return found.astimezone(UTC) if found.tzinfo else found.replace(tzinfo=UTC)
         except (TypeError, ValueError, OverflowError, IndexError):
             return None
 
-    return pd.Series([read(t) for t in texts], dtype="datetime64[ns]")
+    # with its zone, so that the session's zone doesn't matter
+    return pd.Series([read(t) for t in texts], dtype="datetime64[us, UTC]")
 
 
 def parse_hops(df: DataFrame, raw: str = "raw_header", with_time: bool = True) -> DataFrame:

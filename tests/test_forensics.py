@@ -89,6 +89,20 @@ def test_long_chain_and_gap(spark):
     assert anomalies.large_gap(spark.createDataFrame(exact, HOP_SCHEMA)).count() == 0
 
 
+def test_times_do_not_depend_on_the_session_zone(spark):
+    heads = spark.createDataFrame([("by a; Sun, 31 Dec 1989 23:30:00 -0100",), ("by a; Mon, 1 Jan 1990 00:30:00 +0100",), ("by a; Fri, 1 Jan 1601 00:00:00 +0000",)], "raw_header string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    got = []
+    try:
+        for z in ("UTC", "Asia/Tokyo", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            hops = relay.parse_hops(heads).select(F.lit("m").alias("msg_id"), F.lit(0).alias("sequence"), "timestamp")
+            got.append([(r["u"]) for r in hops.select(F.unix_seconds("timestamp").alias("u")).collect()] + sorted(r["evidence"] for r in anomalies.impossible_timestamp(hops).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got[0] == got[1] == got[2] and got[0][:2] == [631153800, 631150200] and len(got[0]) == 5
+
+
 def test_no_rule_fires_on_nothing(spark):
     assert anomalies.detect(spark.createDataFrame([], HOP_SCHEMA)).count() == 0
 
