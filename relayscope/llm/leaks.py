@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 _TAG = re.compile(r"<[^<>]{1,400}>")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
-_BROKEN = re.compile(r"(\w)[-‐]\s*\n[>|\s]*(\w)")
+_BROKEN = re.compile(r"(\w)[-‐][ \t\r]*\n[>|\s]*(\w)")
 _MARK = re.compile("[̀-ͯ]")
 _WORD = re.compile(r"[^\W_]+")
 

@@ -210,7 +210,7 @@ _TITLE = r"(?:Dr|Drs|Prof|Mr|Mrs|Ms|Miss|Mx|Mme|Mlle|M|Herr|Frau|Hr|Fr|Sr|Sra|Sr
 _NOT_FAMILY = frozenset("accounts and billing bestellungen buchhaltung care cliente compliance customer desk energy facturacion for freight from group helpdesk intake is kundigungsstelle logistics newsletter notifications of office payable payroll rewards says security service shipping sons support team the to via was will with und et y de".split())
 
 _NAME_WORD = r"[^\W\d_](?:[^\W\d_]|[’'�\u0300-\u036f])*(?:-[^\W\d_](?:[^\W\d_]|[’'�\u0300-\u036f])*)*"
-_TOKEN = re.compile(rf"�*{_NAME_WORD}|[^\s]")
+_TOKEN = re.compile(rf"(?:(?<!�)�++)?{_NAME_WORD}|[^\s]")
 _TITLES = frozenset("dr drs prof mr mrs ms miss mx mme mlle m herr frau hr fr sr sra srta don doña sir dame monsieur madame".split())
 
 
@@ -256,8 +256,9 @@ def find_names(text: str, known: NameKnowledge) -> list[tuple[int, int]]:
             firsts = after > k or known.is_given(w)
             j = after if after > k else k + 1
             if firsts:
-                while initial(j) > j and j < n and near(j):  # middle initials
-                    j = initial(j)
+                for _ in range(3):  # middle initials
+                    if j < n and near(j) and initial(j) > j:
+                        j = initial(j)
                 last = word(j) if j < n and near(j) else None
                 if last is not None and len(last) > 1 and fold(last) not in _NOT_FAMILY and last.lower() not in _TITLES:
                     if known.is_family(last):

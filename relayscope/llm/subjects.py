@@ -34,13 +34,13 @@ from relayscope.llm.leaks import words_of
 _CLASS = "\x01"  # marks the area among a transaction's items
 NO_AREA = ""
 
-_HEADER = re.compile(r"(?im)\bReceived:\s+from\s+\S+(?:\s+\([^)\n]*\))?\s+by\s+\S+|^[>\s]*(?:Received|From|To|Cc|Sent|Date|Subject|Message-ID|Return-Path|Von|An|Gesendet|Betreff|De|À|Objet|Para|Asunto|Enviado|X-[\w-]+):[^\n]*$")
+_HEADER = re.compile(r"(?im)\bReceived:\s+from\s+\S+(?:\s+\([^)\n]*\))?\s+by\s+\S+|^[> \t]*(?:Received|From|To|Cc|Sent|Date|Subject|Message-ID|Return-Path|Von|An|Gesendet|Betreff|De|À|Objet|Para|Asunto|Enviado|X-[\w-]+):[^\n]*$")
 _LINK = re.compile(r"\b(?:https?|hxxps?|ftp)://\S+|\bwww\.\S+")
-_CODE = re.compile(r"```.*?```|\b(?:if|for|while)\s*\([^)\n]*\)\s*\{[^{}]*\}", re.S)
+_CODE = re.compile(r"```.*?```|\b(?:if|for|while)\s*\((?:[^()\n{}]|\([^()\n{}]*\))*\)\s*\{[^{}]*\}", re.S)
 _TAG = re.compile(r"<(/?)([A-Za-z][^<>]*)>")
 _QUOTE = re.compile(r"(?m)^(?:[>|]\s?)+")
 #: What introduces a postscript; the sentence after it has no area.
-_SIGNATURE = re.compile(r"(?m)^[>|\s]*--[ \t]*\n(?:[>|\s]*\S+(?:[ \t]+\S+){0,3}(?<![.!?:,;])[ \t]*(?:\n|$)){1,3}")
+_SIGNATURE = re.compile(r"(?m)^[>| \t]*--[ \t]*\n(?:[>| \t]*\S+(?:[ \t]+\S+){0,3}(?<![.!?:,;])[ \t]*(?:\n|$)){1,3}")
 _POSTSCRIPT = re.compile(r"(?i)(?<!\w)(?:p\.?\s?-?\s?s\.?|p\.\s?d\.?|n\.\s?b\.?|übrigens|by the way|au fait|por cierto)\s*:?\s+(?=\w)")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+|\n\s*\n")
 
