@@ -6,8 +6,9 @@ links. Relative and mail links are left out.
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,44 +29,42 @@ def text_links(df: DataFrame, message: str, body: str) -> DataFrame:
     return df.where(F.col(body).contains("://")).select(message, F.posexplode(found).alias("ordinal", "raw_url"))
 
 
-class _Links(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.links: list[list] = []
-        self.open: list[list] = []
-        self.text: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "a":
-            href = next((v for k, v in attrs if k == "href" and v is not None), None)
-            if href is not None:
-                link = [href.strip(), []]
-                self.links.append(link)
-                self.open.append(link)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "a" and self.open:
-            self.open.pop()
-
-    def handle_data(self, data: str) -> None:
-        self.text.append(data)
-        for link in self.open:
-            if data.strip():
-                link[1].append(data.strip())
+#: A comment, a tag, or text. Quoted values end before the next tag at the latest, so reading is linear.
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*'|["'])*)>|([^<]+|<)""", re.S)
+_HREF = re.compile(r"""(?:^|[\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
 def html_links(text: str) -> list[tuple[str, str | None]]:
-    """(link, anchor text) of anchors, then of bare links in the visible text; each link once."""
-    import re
-
-    parser = _Links()
-    try:
-        parser.feed(text)
-        parser.close()
-    except Exception:  # noqa: BLE001 - whatever the markup does, plain text is left
-        return list(dict.fromkeys((u, None) for u in re.findall(URL_PATTERN, text)))
-    found = [(href, "".join(parts) or None) for href, parts in parser.links if href.lower().startswith(("http://", "https://"))]
-    found += [(u, None) for u in re.findall(URL_PATTERN, " ".join(parser.text))]
+    """(link, anchor text) of anchors, then of bare links in the visible text; each link once.
+
+    Scripts, styles and comments aren't visible; tags that aren't closed are text.
+    """
+    links: list[tuple[str, list[str]]] = []
+    visible: list[str] = []
+    inside: list[str] | None = None
+    hidden = ""
+    for m in _MARKUP.finditer(text):
+        closing, tag, attributes, plain = m.groups()
+        if plain is not None:
+            if not hidden:
+                plain = html.unescape(plain)
+                visible.append(plain)
+                if inside is not None and plain.strip():
+                    inside.append(plain.strip())
+        elif tag is not None:
+            tag = tag.lower()
+            if hidden:
+                hidden = "" if closing and tag == hidden else hidden
+            elif tag in ("script", "style", "template") and not closing:
+                hidden = tag
+            elif tag == "a":
+                inside = None
+                href = None if closing else _HREF.search(attributes)
+                if href:
+                    inside = []
+                    links.append((html.unescape(next(g for g in href.groups() if g is not None)).strip(), inside))
+    found = [(href, "".join(parts) or None) for href, parts in links if href.lower().startswith(("http://", "https://"))]
+    found += [(u, None) for u in re.findall(URL_PATTERN, " ".join(visible))]
     seen: dict[str, str | None] = {}
     for url, anchor in found:
         seen.setdefault(url, anchor)
@@ -74,16 +73,14 @@ def html_links(text: str) -> list[tuple[str, str | None]]:
 
 def body_links(df: DataFrame, message: str, body: str, is_html: str) -> DataFrame:
     """message, ordinal, raw_url, anchor_text of HTML and plain bodies."""
-    import re
-
     narrow = df.select(message, body, is_html).where(F.col(body).isNotNull())
     kind = dict(narrow.dtypes)[message]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, ordinal, url, anchor = [], [], [], []
-            for i, (text, html) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                links = html_links(text) if html else [(u, None) for u in dict.fromkeys(re.findall(URL_PATTERN, text))]
+            for i, (text, rich) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                links = html_links(text) if rich else [(u, None) for u in dict.fromkeys(re.findall(URL_PATTERN, text))]
                 for k, (u, a) in enumerate(links):
                     at.append(i)
                     ordinal.append(k)

@@ -135,6 +135,10 @@ def test_html_links():
     text = '<a href=" HTTP://a.test/x ">Sign <b>in</b></a><a href="mailto:q@t">m</a> https://b.test/y. <a href="HTTP://a.test/x">again</a><script>var</script>'
     assert urls.html_links(text) == [("HTTP://a.test/x", "Signin"), ("https://b.test/y.", None)]
     assert urls.html_links("") == [] and urls.html_links("<a href>") == []
+    assert urls.html_links("<A HREF='http://q.test/?a=1&amp;b=2'>x</A><script>https://s.test</script><!-- https://c.test") == [("http://q.test/?a=1&b=2", "x")]
+    assert urls.html_links('<a title="a>b" href=https://u.test/p>t</a> 1 < 2 https://v.test') == [("https://u.test/p", "t"), ("https://v.test", None)]
+    for part in ("<", "<a ", '<a "', "<!--", "<script>", '<a href="http://x.t/'):
+        urls.html_links((part * 100_000)[:200_000])
 
 
 def test_url_parts(spark):
