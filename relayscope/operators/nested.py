@@ -174,32 +174,21 @@ def shred(df: DataFrame, id_col: str, records: dict[str, tuple[str, ...]]) -> Sh
     return Shredded(bridge, objects)
 
 
-def item_of(key: Column, content: Column) -> Column:
-    """What names a child: the value itself, or the object's naming field."""
-    plain = F.when(content.startswith('"') | ~content.startswith("{"), F.get_json_object(F.concat(F.lit('{"v":'), content, F.lit("}")), "$.v"))
-    named = F.lit(None).cast("string")
-    for field in sorted(set(ITEM_FIELD.values())):
-        keys = [k for k, f in ITEM_FIELD.items() if f == field]
-        named = F.when(key.isin(keys), F.get_json_object(content, f"$.{field}")).otherwise(named)
-    return F.when(key.isin(*PLAIN), plain).otherwise(named)
+def _plain_value(content: Column) -> Column:
+    """A plain value's canonical JSON as text; null for an object."""
+    return F.when(~content.startswith("{"), F.get_json_object(F.concat(F.lit('{"v":'), content, F.lit("}")), "$.v"))
 
 
 def children(shredded: Shredded) -> DataFrame:
     """One row per child: id, source, path, parent_hash, hash, key, ordinal, item.
 
-    The names are worked out once per object and joined back to the occurrences; the side of the
-    occurrences may be skewed towards a few objects, which AQE splits.
+    Items are read once per object and joined back to the occurrences. An identity says nothing about the
+    keys it hangs under, so every naming field is read, and the occurrence's key picks one. Occurrences
+    may be skewed towards a few objects, which AQE splits.
     """
-    keys = [*ITEM_FIELD, *sorted(PLAIN)]
-    # an identity says nothing about the key it hangs under, so every naming field is read once per object
-    named = shredded.objects.select(
-        "hash",
-        F.get_json_object("content", "$.sha256").alias("_sha256"),
-        F.get_json_object("content", "$.field").alias("_field"),
-        F.get_json_object("content", "$.result").alias("_result"),
-        item_of(F.lit("to_addresses"), F.col("content")).alias("_plain"),
-    )
-    item = F.lit(None).cast("string")
-    for key in keys:
-        item = F.when(F.col("key") == key, F.col("_plain" if key in PLAIN else f"_{ITEM_FIELD[key]}")).otherwise(item)
+    fields = sorted(set(ITEM_FIELD.values()))
+    named = shredded.objects.select("hash", *[F.get_json_object("content", f"$.{f}").alias(f"_{f}") for f in fields], _plain_value(F.col("content")).alias("_value"))
+    item = F.when(F.col("key").isin(*PLAIN), F.col("_value"))
+    for f in fields:
+        item = item.when(F.col("key").isin(*(k for k, x in ITEM_FIELD.items() if x == f)), F.col(f"_{f}"))
     return shredded.bridge.join(named, "hash").select("id", "source", "path", "parent_hash", "hash", "key", "ordinal", item.alias("item"))
