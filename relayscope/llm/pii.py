@@ -263,16 +263,20 @@ def find_names(text: str, known: NameKnowledge) -> list[tuple[int, int]]:
                 if last is not None and len(last) > 1 and fold(last) not in _NOT_FAMILY and last.lower() not in _TITLES:
                     if known.is_family(last):
                         end = j
-                    elif after == k and _capital(w) and _capital(last) and not last.isupper() and fold(w) not in _AMBIGUOUS and fold(w) in GIVEN:
+                    elif after == k and _capital(w) and _capital(last) and not last.isupper() and fold(w) not in _AMBIGUOUS and fold(last) not in _COMPANY:
                         end = j
                     elif after == k and titled and _capital(last):
                         end = j
-                elif j < n and tokens[j][2] == "," and after == k:
-                    pass
+                    elif after > k and _capital(last) and len(last) > 2 and (i == 0 or word(i - 1) is not None and not _capital(word(i - 1)) or tokens[i - 1][2] == ":"):
+                        end = j  # an initial where a name can begin
             if end is None and known.is_family(w) and k + 2 < n and tokens[k + 1][2] == ",":
                 g = word(k + 2)  # family name, given name
                 if g is not None and near(k + 2) and (known.is_given(g) or initial(k + 2) > k + 2):
                     end = k + 2 if initial(k + 2) == k + 2 else initial(k + 2) - 1
+            if end is None and len(w) > 2 and _capital(w) and not w.isupper() and fold(w) not in _NOT_FAMILY and k + 2 < n and tokens[k + 1][2] == ",":
+                g = word(k + 2)  # the same with a family name that isn't known, where nothing else follows
+                if g is not None and near(k + 2) and _capital(g) and known.is_given(g) and fold(g) not in _AMBIGUOUS and (k + 3 >= n or word(k + 3) is None):
+                    end = k + 2
             if end is None and titled and len(w) > 1 and _capital(w) and fold(w) not in _NOT_FAMILY and (known.is_family(w) or known.is_given(w) or not w.isupper()):
                 end = k
         if end is None:
