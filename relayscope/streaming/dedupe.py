@@ -122,16 +122,20 @@ def run_dedupe(
     row_id: Column,
     *,
     delay: str = "45 days",
-    buckets: int = 96,
-    files_per_batch: int | None = 1000,
+    buckets: int | None = None,
+    files_per_batch: int | None = 200,
     work: str | None = None,
 ) -> DataFrame:
     """Run the stream over what lies under ``path`` until it is read, and give the log.
 
     ``work`` names a folder of an earlier run to go on from; else a new one in the shared folder is
     used. After a crash the same call goes on where the last committed micro-batch ended.
-    ``buckets``: state values; take about one per 100 000 identifiers within ``delay``.
+    ``buckets``: state values; by default twice the shuffle partitions, 96 at least. Each bucket's new
+    rows and identifiers are in memory at once, so take about one per 100 000 identifiers of a
+    micro-batch or within ``delay``. Another number in a later run costs nothing but kept rows that
+    ``surplus_ids`` settles.
     """
+    buckets = buckets or max(96, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     reach(spark)
     work = work or fresh_path(spark, "deliveries")
     schema = spark.read.parquet(path).schema
