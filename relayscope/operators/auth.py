@@ -17,6 +17,7 @@ MECHANISMS = ("spf", "dkim", "dmarc")
 _RESULT = r"\b(spf|dkim|dmarc)\s*=\s*([a-zA-Z]+)"
 _COMMENT = r"\(([^()]*)\)"
 _DOMAIN = r"header\.from=([^\s;]+)|header\.d=([^\s;]+)|smtp\.mailfrom=(?:[^@\s;]*@)?([^\s;]+)"
+_DOMAIN_NAME = r"^(?:header\.from=|header\.d=|smtp\.mailfrom=(?:[^@\s;]*@)?)"
 _POLICY = r"\b(?:policy|p)=([a-zA-Z]+)"
 
 
@@ -25,16 +26,13 @@ def fold(header: Column) -> Column:
     return F.trim(F.regexp_replace(header, r"(?U)\s+", " "))
 
 
-def _first(text: Column, pattern: str, group: int) -> Column:
-    """First match; null if there is none."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+#: A segment with a verdict; the second group is the mechanism of its first one.
+_SEGMENT = r"(?:^|;)([^;]*?\b(spf|dkim|dmarc)\s*=\s*[a-zA-Z][^;]*)"
 
 
-def segment_of(folded: Column, mechanism: str) -> Column:
-    """Of a folded header, the first segment whose first verdict is of ``mechanism``; one regular expression, no lambda."""
-    verdict = r"\b(?:spf|dkim|dmarc)\s*=\s*[a-zA-Z]"
-    found = F.regexp_extract(folded, rf"(?:^|;)((?:(?!{verdict})[^;])*\b{mechanism}\s*=\s*[a-zA-Z][^;]*)", 1)
-    return F.when(found != "", F.trim(found))
+def segment_of(parts: Column, mechanisms: Column, mechanism: str) -> Column:
+    """Of the segments with a verdict, the first that is of ``mechanism``; null if there is none."""
+    return F.trim(F.get(parts, F.array_position(mechanisms, mechanism).cast("int") - 1))
 
 
 def result_of(segment: Column) -> Column:
@@ -43,8 +41,14 @@ def result_of(segment: Column) -> Column:
 
 
 def domain_of(segment: Column) -> Column:
-    found = [F.regexp_extract(segment, _DOMAIN, g) for g in (1, 2, 3)]
-    return F.coalesce(*[F.when(x != "", x) for x in found])
+    """The leftmost domain that the segment names, its local part taken off."""
+    return F.regexp_replace(F.regexp_substr(segment, F.lit(_DOMAIN)), _DOMAIN_NAME, "")
+
+
+def reason_of(segment: Column) -> Column:
+    """The first comment without comments inside."""
+    comment = F.regexp_substr(segment, F.lit(_COMMENT))
+    return F.trim(F.substr(comment, F.lit(2), F.length(comment) - 2))
 
 
 def policy_of(segment: Column) -> Column:
@@ -56,12 +60,14 @@ def policy_of(segment: Column) -> Column:
 def parse(df: DataFrame, header: str) -> DataFrame:
     """``df`` with source, and of each mechanism result, reason, domain and segment, and dmarc_policy."""
     out = df.withColumn("source", F.when(F.col(header).isNull(), "unavailable").otherwise("authentication-results-header"))
+    # two passes over the header serve all mechanisms
     folded = out.withColumn("_folded", fold(F.col(header)))
-    out = folded.withColumns({f"{m}_segment": segment_of(F.col("_folded"), m) for m in MECHANISMS}).drop("_folded")
+    split = folded.withColumns({f"_{n}": F.regexp_extract_all("_folded", F.lit(_SEGMENT), F.lit(i)) for i, n in ((1, "parts"), (2, "mechanisms"))})
+    out = split.withColumns({f"{m}_segment": segment_of(F.col("_parts"), F.col("_mechanisms"), m) for m in MECHANISMS}).drop("_folded", "_parts", "_mechanisms")
     named = {}
     for m in MECHANISMS:
         segment = F.col(f"{m}_segment")
-        named |= {f"{m}_result": result_of(segment), f"{m}_reason": F.trim(_first(segment, _COMMENT, 1)), f"{m}_domain": domain_of(segment)}
+        named |= {f"{m}_result": result_of(segment), f"{m}_reason": reason_of(segment), f"{m}_domain": domain_of(segment)}
     return out.withColumns(named | {"dmarc_policy": F.coalesce(policy_of(F.col("dmarc_segment")), F.lit("unknown"))})
 
 
