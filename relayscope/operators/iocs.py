@@ -7,9 +7,16 @@ Null and empty values are no indicators.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relayscope.operators.nested import parse_record, unwrap
+
+ATTACHMENT_SCHEMA = "msg_id string, ordinal int, filename string, content_type string, size_bytes long, sha256 string"
+
 
 def ip_type(ip: Column) -> Column:
     return F.when(ip.contains(":"), "ipv6").otherwise("ipv4")
@@ -20,6 +27,40 @@ def _rows(df: DataFrame, ordinal: Column, entries: list[tuple[Column, Column, Co
     return df.select("msg_id", F.explode(listed).alias("i")).select("msg_id", "i.*").where("value <> ''")
 
 
+def _text(value: object) -> str | None:
+    return None if value is None else str(value).encode("utf-8", "replace").decode()
+
+
+def _size(value: object) -> int | None:
+    try:
+        size = int(value)
+    except (TypeError, ValueError, OverflowError):
+        return None
+    return size if abs(size) < 2**63 else None
+
+
+def stored_attachments(records: DataFrame) -> DataFrame:
+    """Attachments of stored records (msg_id, record), read as ``nested`` reads them: a list, a single one, or JSON text of either.
+
+    Only a message's own attachments, not those of messages attached to it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["msg_id", "ordinal", "filename", "content_type", "size_bytes", "sha256"]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        for batch in batches:
+            rows = []
+            for msg_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held = unwrap((parse_record(text) or {}).get("attachments"))
+                for ordinal, a in enumerate(held if isinstance(held, list) else [held]):
+                    if isinstance(a := unwrap(a), dict):
+                        rows.append((msg_id, ordinal, _text(a.get("filename")), _text(a.get("content_type")), _size(a.get("size_bytes")), _text(a.get("sha256"))))
+            columns = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    return records.select(F.col("msg_id").cast("string").alias("msg_id"), "record").mapInArrow(run, ATTACHMENT_SCHEMA)
+
+
 def candidates(messages: DataFrame, hops: DataFrame, attachments: DataFrame | None = None, urls: DataFrame | None = None) -> DataFrame:
     """All candidates with ``part`` and ``ordinal``, the order in which they are found."""
     seq = F.col("sequence").cast("string")

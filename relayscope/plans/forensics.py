@@ -580,7 +580,8 @@ def origin_reasoning(spark: SparkSession, folder: str) -> DataFrame:
 def _iocs(spark: SparkSession, folder: str) -> DataFrame:
     messages = table(spark, folder, "analyses").select(F.col("id").alias("msg_id"), "from_address")
     hops = _hops(spark, folder, "from_ip", "from_host", "by_host")
-    return iocs.extract(messages, hops, None, _stored_urls(spark, folder))
+    attached = iocs.stored_attachments(table(spark, folder, "analyses").select(F.col("id").alias("msg_id"), F.col("meta_json").alias("record")))
+    return iocs.extract(messages, hops, attached, _stored_urls(spark, folder))
 
 
 _URL_HOST = "nullif(lower(regexp_extract(raw_url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1)), '')"
