@@ -12,7 +12,7 @@ result doesn't depend on batches, order or expiry.
 
 Identifiers are held in buckets, one state value per bucket, so that a state update is one vectorised
 merge. Copies are thinned out within each Arrow batch before the shuffle; what is thinned out there
-travels under random buckets, so one message that makes up a third of all rows loads no bucket.
+travels under buckets drawn from the rows' ids, so one message that makes up a third of all rows loads no bucket.
 """
 
 from __future__ import annotations
@@ -33,13 +33,16 @@ _LAST = np.iinfo(np.int64).max  # a null time
 
 
 def _thin(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    rng = np.random.default_rng()
+    """Mark copies beaten within their batch. Their bucket follows from the rows alone, so a task that runs again sends each to the same place."""
     for batch in batches:
         pdf = batch.to_pandas()
         pdf = pdf.sort_values(["key", "at", "id"], kind="stable")
         better = pdf["key"].duplicated().to_numpy()
         bucket = pdf["bucket"].to_numpy().copy()
-        bucket[better] = rng.integers(0, buckets, int(better.sum()))
+        beaten = pdf.loc[better, "id"]
+        # rows that share an id are dealt out by their number among them
+        drawn = pd.util.hash_pandas_object(beaten, index=False) % buckets + beaten.groupby(beaten, dropna=False).cumcount()
+        bucket[better] = (drawn % buckets).astype(bucket.dtype)
         out = pdf.assign(surplus=better, bucket=bucket)
         yield pa.RecordBatch.from_pandas(out[["bucket", "surplus", "key", "at", "id", "event_time"]], preserve_index=False)
 
