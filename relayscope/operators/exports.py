@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relayscope.operators.reports import parts_of
+
 # fixed values: STIX patterns of the kinds of indicators
 _PATTERNS = {
     "ipv4": "[ipv4-addr:value = '{}']",
@@ -135,7 +137,7 @@ def pdf_reports(texts: DataFrame) -> DataFrame:
     """msg_id and the report of ``text_reports`` as PDF."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pdf(t or "") for t in batch.column(1).to_pylist()], pa.binary())], names=["msg_id", "pdf"])
 
     return texts.select("msg_id", "report").mapInArrow(run, "msg_id string, pdf binary")

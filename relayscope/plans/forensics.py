@@ -9,7 +9,7 @@ from relayscope.config import BOGON_V4, CONFUSABLE_FROM, CONFUSABLE_TO, DOCUMENT
 from relayscope.functions.messages import record_text
 from relayscope.functions.net import cidr_bounds, is_bogon, is_ip, organisation_domain
 from relayscope.operators import anomalies as rules
-from relayscope.operators import attribution, auth, dataprep, exports, geo, iocs, lookalike, models, relay, scoring, store, urls
+from relayscope.operators import attribution, auth, dataprep, exports, geo, iocs, lookalike, models, relay, reports, scoring, store, urls
 from relayscope.sources import messages as raw
 from relayscope.sources.tables import table
 
@@ -827,27 +827,27 @@ def classifier_metrics(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def report_json(spark: SparkSession, folder: str) -> DataFrame:
     """Reports as JSON."""
-    analyses = table(spark, folder, "analyses").where("status = 'complete'")
-    return exports.report_json(analyses, "id", ["filename", "sha256", "from_address", "subject", "spf_result", "dkim_result", "dmarc_result", "risk_score", "verdict"])
+    return reports.json_reports(_reports(spark, folder))
 
 
-def _texts(spark: SparkSession, folder: str) -> DataFrame:
+def _reports(spark: SparkSession, folder: str, found_iocs: DataFrame | None = None) -> DataFrame:
     messages, found = _factors(spark, folder)
-    score = scoring.risk(messages, found).select("msg_id", "score", "verdict")
-    wide = table(spark, folder, "analyses").where("status = 'complete'").select(F.col("id").alias("msg_id"), "filename", "sha256", "from_address", "subject", "spf_result", "dkim_result", "dmarc_result", "dmarc_policy").join(score, "msg_id")
-    return exports.text_reports(wide, _hops(spark, folder, "from_host", "from_ip", "by_host"), exports.numbered(_anomalies(spark, folder), "msg_id", "anomaly_id"), found)
+    complete = table(spark, folder, "analyses").where("status = 'complete'").select(F.col("id").alias("msg_id"), *reports.FLAT_FIELDS, *reports.RECORDS, "created_at")
+    odd = exports.numbered(_anomalies(spark, folder), "msg_id", "anomaly_id")
+    return reports.assemble(complete, _hops(spark, folder, *reports.HOP_FIELDS), odd, found, scoring.risk(messages, found), _attribution(spark, folder), found_iocs)
 
 
 @_query()
 def report_text(spark: SparkSession, folder: str) -> DataFrame:
     """Reports as text."""
-    return _texts(spark, folder)
+    return reports.text_reports(_reports(spark, folder))
 
 
 @_query()
 def report_pdf(spark: SparkSession, folder: str) -> DataFrame:
     """Reports as PDF."""
-    return exports.pdf_reports(_texts(spark, folder)).select("msg_id", F.octet_length("pdf").alias("size"))
+    wide = _reports(spark, folder, _iocs(spark, folder)).withColumn("case_id", iocs.case_id(F.col("msg_id")))
+    return exports.pdf_reports(reports.case_reports(wide)).select("msg_id", F.octet_length("pdf").alias("size"))
 
 
 @_query()
