@@ -111,6 +111,8 @@ def readings(raw: str | None) -> list[Reading]:
         clock, zone, year = _clock(m[5], m[6], m[7], m[8], m[9]), _offset(m[10], m[11]), _year(m[4])
         _add(out, "DMY", _day(year, int(m[3]), int(m[1])), clock, zone)
         _add(out, "MDY", _day(year, int(m[1]), int(m[3])), clock, zone)
+        if len(m[1]) == 2 and len(m[4]) == 2:
+            _add(out, "YMD", _day(_year(m[1]), int(m[3]), int(m[4])), clock, zone)
     elif m := _ASCTIME.fullmatch(text):
         month = MONTHS.get(m[1].lower())
         if month:

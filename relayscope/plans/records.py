@@ -51,7 +51,7 @@ def p3_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stamps(spark: SparkSession, folder: str) -> DataFrame:
-    """Relay stamps and Date headers in one form: field, id, source, raw, stored, zone, date_order."""
+    """Relay stamps and Date headers in one form: field, id, source, raw, stored, zone, date_order, read (whether the analysis was)."""
     hosts = table(spark, folder, "mail_hosts").select(F.lower("host").alias("source"), F.col("time_zone").alias("zone"), "date_order")
     relay = table(spark, folder, "hops").select(
         F.lit("timestamp").alias("field"),
@@ -60,34 +60,35 @@ def _stamps(spark: SparkSession, folder: str) -> DataFrame:
         F.col("timestamp_raw").alias("raw"),
         F.col("timestamp").alias("stored"),
         F.col("timestamp").isNotNull().alias("stands"),
+        F.lit(True).alias("read"),
     ).join(hosts, "source", "left")
     record = F.col("meta_json")
     stored = record_field(record, "date_parsed")
     header = (
         table(spark, folder, "analyses")
-        .where(F.col("status") == READ_STATUS)
         .select(
             F.lit("date_parsed").alias("field"),
             "id",
-            F.lit("Date header").alias("source"),
+            F.concat(F.lit("Date headers of "), F.coalesce(F.lower(F.substring_index("from_address", "@", -1)), F.lit("nobody"))).alias("source"),
             record_field(record, "date_raw").alias("raw"),
             F.try_to_timestamp(stored).alias("stored"),
             (F.coalesce(F.trim(stored), F.lit("")) != "").alias("stands"),
             F.lit(None).cast("string").alias("zone"),
             F.lit(None).cast("string").alias("date_order"),
+            F.coalesce(F.col("status") == READ_STATUS, F.lit(False)).alias("read"),
         )
     )
     return relay.unionByName(header)
 
 
 def p4_instants(spark: SparkSession, folder: str) -> DataFrame:
-    """Every stamp with its instant, or why it has none."""
+    """Every stamp, of unread analyses too, with its instant, or why it has none."""
     return normalise(_stamps(spark, folder), raw="raw").select("field", "id", "raw", "stored", "instant", "status", "format", "posterior")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Stored values that aren't the instant stated: field, id."""
-    found = normalise(_stamps(spark, folder), raw="raw").where(
+    found = normalise(_stamps(spark, folder), raw="raw").where("read").where(
         F.when(F.col("instant").isNull(), F.col("stands")).otherwise(F.col("stored").isNull() | (F.col("stored") != F.col("instant")))
     )
     return found.select("field", "id").distinct()

@@ -43,10 +43,30 @@ def test_numeric_dates_have_two_readings():
     assert [r[0] for r in readings("25/06/2024 10:00:00")] == ["DMY"]
 
 
+def test_two_digit_years_may_come_first():
+    assert [r[0] for r in readings("04/05/06 10:00:00")] == ["DMY", "MDY", "YMD"]
+    assert [r[0] for r in readings("32-05-04 10:00:00")] == ["YMD"]
+
+
 def test_em_learns_the_order_and_leaves_a_tie():
-    learned = em_posteriors([(("DMY",), 40), (("DMY", "MDY"), 60)], {})
+    learned = em_posteriors([(("DMY",), 40), (("DMY", "MDY"), 60)])
     assert learned["DMY", "MDY"]["DMY"] > 0.95
-    assert em_posteriors([(("DMY", "MDY"), 5)], {})["DMY", "MDY"] == {"DMY": 0.5, "MDY": 0.5}
+    assert em_posteriors([(("DMY", "MDY"), 5)])["DMY", "MDY"] == {"DMY": 0.5, "MDY": 0.5}
+
+
+@pytest.mark.parametrize("shares", [(6, 3, 1), (6, 1, 3), (90, 9, 1), (1, 0, 1)])
+def test_posteriors_do_not_depend_on_size(shares):
+    sets = [("DMY", "MDY"), ("MDY",), ("DMY",)]
+    small, *larger = [em_posteriors([(f, n * times) for f, n in zip(sets, shares) if n])["DMY", "MDY"]["DMY"] for times in (1, 1_000, 1_000_000, 10**9)]
+    assert all(abs(x - small) < 1e-9 for x in larger)
+
+
+@pytest.mark.parametrize("times", [1, 30])
+def test_a_declared_order_holds_against_any_number_of_others(spark, times):
+    raws = ["05/06/2024 10:00:00"] * 6 + ["05/26/2024 10:00:00"] * 3 + ["26/05/2024 10:00:00"]
+    df = spark.createDataFrame([("h", r, "UTC", "DMY") for r in raws * times], "source string, raw string, zone string, date_order string")
+    got = {r["raw"]: (r["status"], r["instant"]) for r in normalise(df, raw="raw").collect()}
+    assert got == {raws[0]: ("stated", dt.datetime(2024, 6, 5, 10)), raws[6]: ("none", None), raws[9]: ("stated", dt.datetime(2024, 5, 26, 10))}
 
 
 ROWS = [
