@@ -1,23 +1,32 @@
 """Nested records as flat tables, with Merkle identities.
 
-Each record is taken apart bottom-up. A node's identity is the hash of its canonical form, in which
-child containers stand as their own identities, so equal subtrees have equal identities wherever they
-occur. ``objects`` holds each identity once; ``bridge`` holds one row for each occurrence with its
-record, its parent's identity, its key, ordinal and path.
+Each record is taken apart bottom-up. Every object and every array is a node, whatever key it stands
+under, and so is every plain element of an array. A node's identity is the hash of its canonical form, in
+which the containers below it stand as their own identities; as plain values never look like those, nodes
+have equal identities only if they are equal. ``objects`` holds each identity once; ``bridge`` holds
+one row for each occurrence with its record, its parent's identity, its key, ordinal and path. The
+record itself is an occurrence without parent, so ``rebuild`` gives it back from its root.
+
+Keys named in ``lists`` hold lists: a value stored there without an array has ordinal 0, and text there
+(or as an element there) that is JSON counts as what it holds, as does a whole record. Elsewhere text is
+text. An array has no ordinal as such; its elements are below it.
 
 Defined results: a null record, a record that isn't complete JSON, or JSON that isn't an object has no
-nodes. Null elements take up an ordinal but have no node. A value stored without an array has ordinal 0.
-Arrays, objects and whole records stored as JSON text are what the text holds; text that starts like
-JSON but isn't complete JSON has no children. Repeated records give their own bridge rows and no new
-objects. Further columns of the input are not read, so their names can't clash.
+nodes. Null elements take up an ordinal but have no node. Null, an empty array, a single value and an
+array of one have different identities. Text under a key of ``lists`` that starts like JSON but isn't
+complete JSON stays text and has no children. Repeated records give their own bridge rows and no
+new objects. Layers of text, and depth within what Python's own JSON reader takes, have no bound.
+Further columns of the input are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,32 +34,46 @@ from pyspark.sql import functions as F
 
 from relayscope.session import materialize
 
+#: Keys that hold lists of children, and keys that hold a single record which may be stored as text.
+LISTS = ("to_addresses", "attachments", "issues", "spf", "dkim", "dmarc")
+SINGLES = ("embedded",)
 #: Child keys by the kind of record they stand in.
 META_CHILDREN = ("to_addresses", "attachments", "issues")
 AUTH_CHILDREN = ("spf", "dkim", "dmarc")
-#: Children that are records with children of their own, below these keys.
-NESTED = {"attachments": ("embedded",), "embedded": META_CHILDREN}
+#: Where a record's children stand: lists of the message and of messages attached to it, those messages themselves, verdicts.
+_ATTACHED = r"(?:attachments/\d+/embedded(?:/\d+)?/)*"
+META_PLACES = rf"^{_ATTACHED}(?:(?:to_addresses|attachments|issues)/\d+|attachments/\d+/embedded(?:/\d+)?)$"
+AUTH_PLACES = r"^(?:spf|dkim|dmarc)/\d+$"
 #: Keys whose elements are plain values; the element itself is the item.
 PLAIN = frozenset({"to_addresses"})
 #: The field that names an object.
 ITEM_FIELD = {"attachments": "sha256", "embedded": "sha256", "issues": "field", "spf": "result", "dkim": "result", "dmarc": "result"}
 
 MIXED_SCHEMA = "id string, source string, parent_hash string, key string, ordinal int, path string, hash string, content string, n long"
-_MAX_TEXT_LAYERS = 8
+_BROKEN = object()  # text that starts like JSON but isn't
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+_loads = json.JSONDecoder(parse_constant=_refuse).decode
 
 
 def unwrap(value: object) -> object:
     """The value that JSON text holds, through any layers of text; other text stays; broken JSON is None."""
-    for _ in range(_MAX_TEXT_LAYERS):
-        if not isinstance(value, str):
-            return value
-        head = value.lstrip()[:1]
-        if head not in ("{", "[", '"'):
+    held = _unwrap(value)
+    return None if held is _BROKEN else held
+
+
+def _unwrap(value: object) -> object:
+    while isinstance(value, str):
+        if value.lstrip()[:1] not in ("{", "[", '"'):
             return value
         try:
-            value = json.loads(value)
-        except ValueError:
-            return None
+            value = _loads(value)  # each layer is shorter than the one around it
+        except (ValueError, RecursionError):
+            return _BROKEN
     return value
 
 
@@ -71,56 +94,87 @@ def _canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=True, separators=(",", ":"))
 
 
+def _step(key: str) -> str:
+    """A key as part of a path."""
+    return key.replace("~", "~0").replace("/", "~1") if "/" in key or "~" in key else key
+
+
+Link = tuple[str, "int | None", str, str, list]  # key, ordinal, step of the path, identity, links below
+
+
 class _Shredder:
     """Takes records apart and keeps the rows of one batch."""
 
-    def __init__(self) -> None:
+    def __init__(self, lists: frozenset[str], singles: frozenset[str]) -> None:
+        self.lists, self.singles = lists, singles
         self.rows: list[tuple] = []
         self.seen: dict[str, int] = {}
 
-    def _node(self, value: object, children: tuple[str, ...]) -> tuple[str, list[tuple]]:
-        """Identity of ``value`` and the links to its children: (key, ordinal, step, hash, links)."""
-        links: list[tuple] = []
-        if isinstance(value, dict):
-            shown: dict[str, object] = {}
-            for key in value:
-                if key in children:
-                    mine = self._children(key, value[key])
-                    links += mine
-                    shown[key] = [[ordinal, h] for _, ordinal, _, h, _ in mine]
-                else:
-                    shown[key] = value[key]
-            canonical = _canonical(shown)
-        else:
-            canonical = _canonical(value)
+    def _stored(self, canonical: str) -> str:
         digest = identity(canonical)
         if digest in self.seen:
             self.seen[digest] += 1
         else:
             self.seen[digest] = 1
             self.rows.append((None, None, None, None, None, None, digest, canonical))
-        return digest, links
-
-    def _children(self, key: str, held: object) -> list[tuple]:
-        held = unwrap(held) if not isinstance(held, (list, dict)) else held
-        if held is None:
-            return []
-        single = key == "embedded" and not isinstance(held, list)
-        out = []
-        for ordinal, element in enumerate(held if isinstance(held, list) else [held]):
-            if isinstance(element, str):
-                element = unwrap(element)
-            if element is None or isinstance(element, list):
+        return digest
+
+    def _object(self, value: dict) -> tuple[str, list[Link]]:
+        """Identity of an object and the links to what is below it."""
+        links: list[Link] = []
+        shown: dict[str, object] = {}
+        for key, held in value.items():
+            is_list = key in self.lists
+            if is_list or key in self.singles:
+                inside = _unwrap(held)
+                if inside is _BROKEN:  # text without children
+                    shown[key] = held
+                    continue
+                held = inside
+            if isinstance(held, list):
+                digest, below = self._array(key, held, is_list or key in self.singles)
+                links.append((key, None, _step(key), digest, below))
+                shown[key] = ["#", digest]
+            elif isinstance(held, dict):
+                digest, below = self._object(held)
+                links.append((key, 0, f"{key}/0", digest, below) if is_list else (key, None, _step(key), digest, below))
+                shown[key] = ["#", digest]
+            else:
+                shown[key] = held
+                if is_list and held is not None:
+                    links.append((key, 0, f"{key}/0", self._stored(_canonical(held)), []))
+        return self._stored(_canonical(shown)), links
+
+    def _array(self, key: str, held: list, text_too: bool) -> tuple[str, list[Link]]:
+        """Identity of an array and the links to its elements, which keep its key."""
+        links: list[Link] = []
+        shown: list[object] = []
+        for ordinal, element in enumerate(held):
+            if text_too:
+                inside = _unwrap(element)
+                if inside is _BROKEN:
+                    shown.append(element)
+                    continue
+                element = inside
+            if isinstance(element, dict):
+                digest, below = self._object(element)
+            elif isinstance(element, list):
+                digest, below = self._array(key, element, text_too)
+            else:
+                shown.append(element)
+                if element is not None:
+                    links.append((key, ordinal, str(ordinal), self._stored(_canonical(element)), []))
                 continue
-            digest, links = self._node(element, NESTED.get(key, ()))
-            out.append((key, ordinal, key if single else f"{key}/{ordinal}", digest, links))
-        return out
+            shown.append(["#", digest])
+            links.append((key, ordinal, str(ordinal), digest, below))
+        return self._stored(_canonical(shown)), links
 
-    def record(self, rid: str, source: str, text: str | None, children: tuple[str, ...]) -> None:
+    def record(self, rid: str, source: str, text: str | None) -> None:
         value = parse_record(text)
         if value is None:
             return
-        digest, links = self._node(value, children)
+        digest, links = self._object(value)
+        self.rows.append((rid, source, None, None, None, "", digest, None))
         stack = [(digest, "", links)]
         while stack:
             parent, prefix, below = stack.pop()
@@ -141,54 +195,77 @@ class _Shredder:
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+def rebuild(root: str, content_of: Callable[[str], str]) -> object:
+    """The value with the identity ``root``; ``content_of`` looks up the content of an identity."""
+
+    def whole(held: object) -> object:
+        return rebuild(held[1], content_of) if isinstance(held, list) else held
+
+    held = json.loads(content_of(root))
+    if isinstance(held, dict):
+        return {k: whole(v) for k, v in held.items()}
+    return [whole(v) for v in held] if isinstance(held, list) else held
+
+
 @dataclass(frozen=True)
 class Shredded:
-    """``bridge``: id, source, parent_hash, key, ordinal, path, hash. ``objects``: hash, content, n (occurrences)."""
+    """``bridge``: id, source, parent_hash, key, ordinal, path, hash. ``objects``: hash, content, n (occurrences).
+
+    ``stored``: hash and content, not yet once each.
+    """
 
     bridge: DataFrame
     objects: DataFrame
+    stored: DataFrame
 
 
-def shred(df: DataFrame, id_col: str, records: dict[str, tuple[str, ...]]) -> Shredded:
-    """Take the JSON columns ``records`` (column -> its child keys) of ``df`` apart.
+def shred(df: DataFrame, id_col: str, records: list[str], lists: tuple[str, ...] = LISTS, singles: tuple[str, ...] = SINGLES) -> Shredded:
+    """Take the JSON columns ``records`` of ``df`` apart.
 
     One narrow pass writes a mixed table to the shared folder; ``bridge`` and ``objects`` are views of
     it. Objects are counted within each batch before the shuffle that stores each of them once, so an
     object that a third of all records share costs one row a batch there.
     """
     wanted = df.select(F.col(id_col).cast("string").alias("_id"), *[F.col(c).alias(f"_r{i}") for i, c in enumerate(records)])
-    names, kinds = list(records), list(records.values())
+    names = list(records)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shredder = _Shredder()
+        shredder = _Shredder(frozenset(lists), frozenset(singles))
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for i, name in enumerate(names):
                 for rid, text in zip(ids, batch.column(i + 1).to_pylist()):
-                    shredder.record(rid, name, text, kinds[i])
+                    shredder.record(rid, name, text)
             yield shredder.batch()
 
     mixed = materialize(wanted.mapInArrow(run, MIXED_SCHEMA), "shredded")
     bridge = mixed.where(F.col("content").isNull()).select("id", "source", "parent_hash", "key", "ordinal", "path", "hash")
-    objects = mixed.where(F.col("content").isNotNull()).groupBy("hash").agg(F.first("content").alias("content"), F.sum("n").alias("n"))
-    return Shredded(bridge, objects)
+    stored = mixed.where(F.col("content").isNotNull()).select("hash", "content", "n")
+    return Shredded(bridge, stored.groupBy("hash").agg(F.first("content").alias("content"), F.sum("n").alias("n")), stored.drop("n"))
 
 
 def _plain_value(content: Column) -> Column:
-    """A plain value's canonical JSON as text; null for an object."""
-    return F.when(~content.startswith("{"), F.get_json_object(F.concat(F.lit('{"v":'), content, F.lit("}")), "$.v"))
+    """A plain value's canonical JSON as text; null for an object or array."""
+    return F.when(~F.substring(content, 1, 1).isin("{", "["), F.get_json_object(F.concat(F.lit('{"v":'), content, F.lit("}")), "$.v"))
 
 
-def children(shredded: Shredded) -> DataFrame:
+def children(shredded: Shredded, places: dict[str, str]) -> DataFrame:
     """One row per child: id, source, path, parent_hash, hash, key, ordinal, item.
 
-    Items are read once per object and joined back to the occurrences. An identity says nothing about the
-    keys it hangs under, so every naming field is read, and the occurrence's key picks one. Occurrences
-    may be skewed towards a few objects, which AQE splits.
+    ``places``: for each column of records the pattern of its children's paths. Items are read where objects
+    are stored, so only hashes and items are shuffled, and joined to the occurrences; objects that name
+    nothing aren't joined. An identity says nothing about the keys it hangs under, so every naming field
+    is read, and the occurrence's key picks one. Occurrences may be skewed towards a few objects, which
+    AQE splits.
     """
     fields = sorted(set(ITEM_FIELD.values()))
-    named = shredded.objects.select("hash", *[F.get_json_object("content", f"$.{f}").alias(f"_{f}") for f in fields], _plain_value(F.col("content")).alias("_value"))
+    names = [f"_{f}" for f in fields]
+    read = shredded.stored.select("hash", _plain_value(F.col("content")).alias("_value"), F.json_tuple("content", *fields).alias(*names))
+    items = [*names, "_value"]
+    named = read.where(F.coalesce(*items).isNotNull()).groupBy("hash").agg(*[F.first(c).alias(c) for c in items])
     item = F.when(F.col("key").isin(*PLAIN), F.col("_value"))
-    for f in fields:
-        item = item.when(F.col("key").isin(*(k for k, x in ITEM_FIELD.items() if x == f)), F.col(f"_{f}"))
-    return shredded.bridge.join(named, "hash").select("id", "source", "path", "parent_hash", "hash", "key", "ordinal", item.alias("item"))
+    for f, name in zip(fields, names):
+        item = item.when(F.col("key").isin(*(k for k, x in ITEM_FIELD.items() if x == f)), F.col(name))
+    placed = reduce(or_, [(F.col("source") == source) & F.col("path").rlike(pattern) for source, pattern in places.items()])
+    chosen = shredded.bridge.where(placed)
+    return chosen.join(named, "hash", "left").select("id", "source", "path", "parent_hash", "hash", "key", "ordinal", item.alias("item"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relayscope.functions.messages import delivery_key, record_field
-from relayscope.operators.nested import AUTH_CHILDREN, META_CHILDREN, children, shred
+from relayscope.operators.nested import AUTH_CHILDREN, AUTH_PLACES, META_PLACES, children, shred
 from relayscope.operators.timestamps import normalise
 from relayscope.sources.tables import table
 from relayscope.streaming.dedupe import run_dedupe, surplus_ids
@@ -15,13 +15,12 @@ READ_STATUS = "complete"
 
 
 def _shredded(spark: SparkSession, folder: str):
-    records = {"meta_json": META_CHILDREN, "authentication_json": AUTH_CHILDREN}
-    return shred(table(spark, folder, "analyses"), "id", records)
+    return shred(table(spark, folder, "analyses"), "id", ["meta_json", "authentication_json"])
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Children of nested records: id, path, item."""
-    return children(_shredded(spark, folder)).select("id", "path", "item")
+    return children(_shredded(spark, folder), {"meta_json": META_PLACES, "authentication_json": AUTH_PLACES}).select("id", "path", "item")
 
 
 def p1_objects(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,7 +29,7 @@ def p1_objects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_bridge(spark: SparkSession, folder: str) -> DataFrame:
-    """Every occurrence of a child: parent identity, key, ordinal, child identity."""
+    """Every occurrence of an object, array or element, records included: parent identity, key, ordinal, path, own identity."""
     return _shredded(spark, folder).bridge
 
 
