@@ -259,7 +259,6 @@ def viterbi(text: str) -> list[Label]:
     return [x for x in labels if x.restored != text[x.start : x.end]]
 
 
-_SUSPECT = re.compile(r"[^\x00-\x7f]{2}")  # no pair garbles less than two characters side by side
 _REFERENCE = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|\w+);")
 
 
@@ -280,8 +279,10 @@ def read_value(value: str | None) -> Reading:
         return _CLEAN
     text, states = value, []
     resolved = html.unescape(text) if "&" in text and _REFERENCE.search(text) else text
-    for _ in range(4):
-        labels = viterbi(resolved) if _SUSPECT.search(resolved) else []
+    seen = set()
+    while not resolved.isascii() and resolved not in seen:
+        seen.add(resolved)  # garbling between one-byte encodings keeps the length, so readings could go in a circle
+        labels = viterbi(resolved)
         if not labels:
             break
         out, at = [], 0

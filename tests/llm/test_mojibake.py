@@ -32,6 +32,21 @@ def test_twice_and_in_part():
     assert read_value("K&Atilde;&frac14;ndigung").restored == "Kündigung"
 
 
+@pytest.mark.parametrize("times", [1, 3, 5, 7])
+def test_any_number_of_times(times):
+    text = "nómina für José"
+    bad = text
+    for _ in range(times):
+        bad = bad.encode().decode("latin-1")
+    got = read_value(bad)
+    assert got.garbled and got.restored == text and got.complete
+
+
+def test_single_letters_between_blanks():
+    text = "я и ты"
+    assert read_value(text.encode("cp1251").decode("cp1252")).restored == text
+
+
 def test_cyrillic():
     for right, wrong in (("koi8-r", "cp1251"), ("cp1251", "cp1252"), ("utf-8", "cp1251")):
         text = "Подтвердите заказ"
