@@ -10,13 +10,15 @@ reads the same: full-width and styled letters, ligatures, odd spaces and hyphens
 letters of other scripts. Accents, dashes, signs and whole names in Cyrillic or Greek stay as they are.
 
 Defined results: null values have no row; plain values, the empty one included, are their own plain
-form. Values of any length are read whole. Precomposed Hangul is left as it is.
+form. Values of any length are read whole. Marks come out as in NFC, however many there are and whatever
+stands between them; so does Hangul.
 """
 
 from __future__ import annotations
 
 import sys
 import unicodedata
+from collections import defaultdict
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -71,6 +73,31 @@ W Ԝ
 X Х Χ
 Y Ү Υ
 Z Ζ
+A ꓮ
+B ꓐ
+C ꓚ
+D ꓓ
+E ꓰ
+F ꓝ
+G ꓖ
+H ꓧ
+I ꓲ
+J ꓙ
+K ꓗ
+L ꓡ
+M ꓟ
+N ꓠ
+O ꓳ
+P ꓑ
+R ꓣ
+S ꓢ
+T ꓔ
+U ꓴ
+V ꓦ
+W ꓪ
+X ꓫ
+Y ꓬ
+Z ꓜ
 """
 # The doubles that are letters of everyday Cyrillic or Greek, so may be meant as such.
 _EVERYDAY = set("асеіјорѕухАВСЕНІЈКМОРЅТХгЬαικνορυχγςΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
@@ -82,6 +109,17 @@ _LIGATURES = range(0xFB00, 0xFB07)
 _HYPHENS = "‐‑‒−﹣"
 _SPACES = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 9, 10, 11, 12, 13, 0x85]))
 _FREE_MARKS = range(0xFE00, 0xFE10)  # variation selectors
+_EAST = "east"  # scripts of Chinese, Japanese and Korean, which are written together
+# Scripts without case, by the names that regular expressions know them by.
+_CASELESS = "Hebrew Arabic Syriac Thaana Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada Malayalam Sinhala Thai Lao Tibetan Myanmar Ethiopic Khmer Mongolian Lisu Yi".split()
+
+
+def _caseless_script(p: F.Column) -> F.Column:
+    """The script of a letter that ``point_table`` leaves out."""
+    found = F.when(p.rlike(r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsBopomofo}]"), _EAST)
+    for name in _CASELESS:
+        found = found.when(p.rlike(rf"^\p{{Is{name}}}"), name.lower())
+    return F.when((p > "\u02af") & p.rlike(r"^\p{L}"), found.otherwise("other"))
 
 
 def _script(ch: str) -> str | None:
@@ -95,6 +133,8 @@ def _script(ch: str) -> str | None:
     if 0x400 <= o < 0x530:
         return "C"
     name = unicodedata.name(ch, "")
+    if name.startswith(("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "BOPOMOFO")):
+        return _EAST
     return "L" if name.startswith("LATIN") else name.split(" ")[0].lower()
 
 
@@ -117,7 +157,7 @@ def _look(ch: str) -> str | None:
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[list[tuple], list[tuple], list[tuple]]:
-    """(code points, compositions, doubles), each of a size that Unicode fixes."""
+    """(code points, compositions by base letter, doubles), each of a size that Unicode fixes."""
     doubles: dict[str, tuple[str, bool]] = {}
     back: dict[tuple[str, str], str] = {}
     for line in _DOUBLES.split("\n"):
@@ -127,7 +167,8 @@ def _tables() -> tuple[list[tuple], list[tuple], list[tuple]]:
             script = _script(other)
             if other in _EVERYDAY and other not in _WEAK and script and (script, latin) not in back:
                 back[(script, latin)] = other
-    points, compositions = [], []
+    points = []
+    composed: dict[str, list[tuple[str, str]]] = defaultdict(list)  # first -> (second, both in one)
     for o in range(sys.maxunicode + 1):
         if 0xD800 <= o < 0xE000 or 0xAC00 <= o < 0xD7A4:
             continue
@@ -137,13 +178,35 @@ def _tables() -> tuple[list[tuple], list[tuple], list[tuple]]:
             continue
         look = _look(ch)
         parts = unicodedata.normalize("NFD", ch if look is None else look)
+        raw = unicodedata.decomposition(ch).split(" ")
+        if look is None and len(raw) == 2 and not raw[0].startswith("<") and unicodedata.normalize("NFC", parts) == ch:
+            composed[chr(int(raw[0], 16))].append((chr(int(raw[1], 16)), ch))
         if kind[0] != "L" and look is None and parts == ch and not unicodedata.combining(ch):
             continue  # nothing to know
         if kind == "Lo" and look is None and parts == ch and ch not in doubles:
-            continue  # letters of scripts without case: the script is all there is to know, and is rare
+            continue  # letters of scripts without case: the script is all there is to know, see ``_caseless_script``
         points.append((ch, [(p, unicodedata.combining(p)) for p in parts], _script(parts[0]) if parts else None))
-        if parts != ch and look is None and len(parts) > 1 and unicodedata.normalize("NFC", parts) == ch:
-            compositions.append((parts, ch))
+    compositions = []
+    made = {both for held in composed.values() for _, both in held}
+    for base in composed:
+        if base in made:
+            continue
+        closure, open_ = {}, [base]
+        while open_:
+            first = open_.pop()
+            for second, both in composed.get(first, ()):
+                closure[first + second] = both
+                open_.append(both)
+        compositions.append((base, closure))
+    for lead in range(19):  # Hangul follows a rule instead of a list
+        closure = {}
+        for vowel in range(21):
+            open_syllable = chr(0xAC00 + (lead * 21 + vowel) * 28)
+            closure[chr(0x1100 + lead) + chr(0x1161 + vowel)] = open_syllable
+            closed = {open_syllable + chr(0x11A7 + tail): chr(ord(open_syllable) + tail) for tail in range(1, 28)}
+            closure |= closed
+            compositions.append((open_syllable, closed))
+        compositions.append((chr(0x1100 + lead), closure))
     pairs = [(o, latin, everyday) for o, (latin, everyday) in doubles.items()]
     return points, compositions, [*((o, "L", latin, everyday) for o, latin, everyday in pairs), *((latin, script, o, True) for (script, latin), o in back.items())]
 
@@ -154,8 +217,32 @@ def point_table(spark: SparkSession) -> DataFrame:
 
 
 def composition_table(spark: SparkSession) -> DataFrame:
-    """cluster (a letter and its marks in canonical order) -> composed."""
-    return spark.createDataFrame(_tables()[1], "cluster string, composed string")
+    """base -> all compositions that can come about from it: a character and the one after it -> both in one."""
+    return spark.createDataFrame(_tables()[1], "base string, closure map<string,string>")
+
+
+@lru_cache(maxsize=1)
+def _joining() -> list[str]:
+    """Characters of combining class 0 that compose with the one before them, Hangul aside."""
+    seconds = {pair[-1] for _, closure in _tables()[1] for pair in closure}
+    return sorted(c for c in seconds if not unicodedata.combining(c) and not 0x1100 <= ord(c) < 0x1200)
+
+
+def compose(marks: F.Column, closure: F.Column) -> F.Column:
+    """Text of one cluster (structs of ccc and q in canonical order), each character composed that isn't blocked from the letter before it."""
+    text = lambda x: F.concat(x["out"], x["cur"], x["rest"])
+    state = lambda out, cur, rest, last: F.struct(out.alias("out"), cur.alias("cur"), rest.alias("rest"), last.alias("last"))
+    none = F.lit("")
+
+    def step(acc, m):
+        both = F.try_element_at(closure, F.concat(acc["cur"], m["q"]))
+        blocked = F.when(m["ccc"] == 0, acc["rest"] != "").otherwise((acc["rest"] != "") & (acc["last"] >= m["ccc"]))
+        joined = state(acc["out"], both, acc["rest"], acc["last"])
+        begun = state(text(acc), m["q"], none, F.lit(0))
+        kept = state(acc["out"], acc["cur"], F.concat(acc["rest"], m["q"]), m["ccc"])
+        return F.when(m["q"] == "", acc).when(both.isNotNull() & ~blocked, joined).when(m["ccc"] == 0, begun).otherwise(kept)
+
+    return F.when(F.size(marks) == 1, F.get(marks, F.lit(0))["q"]).otherwise(F.aggregate(marks, state(none, none, none, F.lit(0)), step, text))
 
 
 def double_table(spark: SparkSession) -> DataFrame:
@@ -184,13 +271,14 @@ def plain_forms(values: DataFrame, key: list[str], value: str, unless: str | Non
     )
     doubles = F.broadcast(double_table(spark).groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct("target", "double"))).alias("doubles"), F.min("everyday").alias("everyday")))
     scripts = F.broadcast(point_table(spark).select(F.col("ch").alias("p"), "script").where("script is not null"))
-    known = pieces.join(doubles, "p", "left").join(scripts, "p", "left")
+    known = pieces.join(doubles, "p", "left").join(scripts, "p", "left").withColumn("script", F.coalesce("script", _caseless_script(F.col("p"))))
     whole = Window.partitionBy(*key)
     order = whole.orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, 0)
     # a word ends at whatever is neither letter nor mark nor nothing
     broken = F.when((F.col("p") != "") & F.col("script").isNull() & (F.col("ccc") == 0) & ~F.col("p").rlike(r"[\p{L}\p{M}]"), 1).otherwise(0)
-    cluster = F.when((F.col("ccc") == 0) & (F.col("p") != ""), 1).otherwise(0)
-    counted = known.withColumn("word", F.sum(broken).over(order)).withColumn("cluster", F.sum(cluster).over(order))
+    starts = (F.col("ccc") == 0) & (F.col("p") != "")
+    joins = F.col("p").isin(_joining()) | F.col("p").between("\u1161", "\u11c2")
+    counted = known.withColumns({"word": F.sum(broken).over(order), "cluster": F.sum(F.when(starts & ~joins, 1).otherwise(0)).over(order), "start": F.sum(F.when(starts, 1).otherwise(0)).over(order)})
     own = F.col("doubles").isNull() & F.col("script").isNotNull()  # letters without a double
     word = Window.partitionBy(*key, "word")
 
@@ -208,21 +296,13 @@ def plain_forms(values: DataFrame, key: list[str], value: str, unless: str | Non
         spelled.withColumn("s", script)
         .groupBy(*key, "cluster")
         .agg(
-            F.min(F.struct("pos", "sub")).alias("at"),
-            F.array_sort(F.collect_list(F.struct("ccc", "pos", "sub", "q"))).alias("marks"),
+            F.array_sort(F.collect_list(F.struct("start", "ccc", "pos", "sub", "q"))).alias("marks"),
             F.collect_set("s").alias("s"),
         )
-        .select(*key, "cluster", "s", F.concat_ws("", F.transform("marks", lambda m: m["q"])).alias("text"))
-    )
-    compositions = F.broadcast(composition_table(spark))  # about 1 000 rows, fixed by Unicode
-    whole_fit = compositions.select(F.col("cluster").alias("text"), F.col("composed").alias("c1"))
-    part_fit = compositions.select(F.col("cluster").alias("head"), F.col("composed").alias("c2"))
-    composed = (
-        joined.join(whole_fit, "text", "left")
-        .withColumn("head", F.substring("text", 1, 2))
-        .join(part_fit, "head", "left")
-        .withColumn("text", F.coalesce("c1", F.when(F.col("c2").isNotNull(), F.concat("c2", F.expr("substring(text, 3)"))), "text"))
+        .withColumn("base", F.when(F.size("marks") > 1, F.get(F.filter("marks", lambda m: (m["ccc"] == 0) & (m["q"] != "")), F.lit(0))["q"]))
     )
+    compositions = F.broadcast(composition_table(spark))  # about 800 rows, fixed by Unicode
+    composed = joined.join(compositions, "base", "left").select(*key, "cluster", "s", compose(F.col("marks"), F.col("closure")).alias("text"))
     rebuilt = composed.groupBy(*key).agg(
         F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("cluster", "text"))), lambda x: x["text"])).alias("plain"),
         (F.size(F.array_distinct(F.flatten(F.collect_list("s")))) > 1).alias("mixed"),

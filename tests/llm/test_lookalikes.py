@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 from relayscope.llm import lookalikes
@@ -41,6 +42,23 @@ def test_agrees_with_nfc_where_only_marks_differ(spark):
     assert [got[i][0] for i in range(len(values))] == [unicodedata.normalize("NFC", v) for v in values]
 
 
+def test_random_marks_agree_with_nfc(spark):
+    rng = random.Random(3)
+    marks = [chr(o) for o in range(0x300, 0x370) if unicodedata.combining(chr(o)) and o not in (0x340, 0x341, 0x343, 0x344)]
+    usual = "\u0300\u0301\u0302\u0306\u0308\u0309\u031b\u0323\u0327\u0328\u0331\u0304"
+    letters = "aeiouyAEOUSsczqLdhη\u03b9ωАий"
+    values = ["".join(rng.choice(letters) + "".join(rng.choices(usual if rng.random() < 0.7 else marks, k=rng.randrange(0, 6))) for _ in range(4)) + "aé" for _ in range(300)]
+    values = [v for v in values if not set(v) & set("ηιωАий")] + ["e\u0323\u0302\u0301é", "a\u0327\u0301é", "\u1112\u1161\u11ab\u1100\u1173\u11af", "가\u11a8", "\u09c7\u09be\u09c7\u0981\u09be", "\u0cc6\u0cc2\u0cd5", "α\u0313\u0301\u0345"]
+    got = forms(spark, values)
+    assert [got[i][0] for i in range(len(values))] == [unicodedata.normalize("NFC", v) for v in values]
+
+
+def test_letters_without_case_have_a_script(spark):
+    got = forms(spark, ["Anna שלום", "שלום", "山田タロウ 김", "ꓑay", "nº 5ª"])
+    assert [got[i][1] for i in range(5)] == [True, False, False, False, False]
+    assert got[3][0] == "Pay"
+
+
 def test_nulls_ascii_long_and_mixed(spark):
     got = forms(spark, [None, "", "ascii only", "е" * 3000 + "x", "Игорь Smith"])
     assert set(got) == {3, 4}
