@@ -1,4 +1,6 @@
 import os
+import random
+import time
 
 import pytest
 
@@ -20,6 +22,20 @@ def test_same_ids_as_the_library(spark):
         assert r["ids"] == (library.encode(TEXTS[r["k"]], add_special_tokens=False).ids if TEXTS[r["k"]] else [])
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@pytest.mark.parametrize(("alphabet", "size"), [("a", 5001), ("ab", 4000), ("=-_*", 6000), ("aé漢😀", 3000), ("etaoin", 20_000), (LETTERS, 60_000)])
+def test_long_words_take_few_rounds(alphabet, size):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(encoding.DEFAULT_VOCABULARY)
+    word = "".join(random.Random(size).choices(alphabet, k=size))
+    began = time.process_time()
+    got = encoding.WordEncoder(encoding.Vocabulary(encoding.DEFAULT_VOCABULARY)).encode([word, "", None, word])
+    assert time.process_time() - began < 30
+    assert got == [library.encode(word, add_special_tokens=False).ids, [], [], got[0]]
+
+
 def test_round_trip(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "k long, t string")
     got = {r["k"]: r["text"] for r in encoding.decode(encoding.encode(df, "k", "t"), "k", "ids").collect()}
