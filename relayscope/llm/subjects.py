@@ -1,11 +1,14 @@
 """Subject areas of documents by class-association rules.
 
 Sentences of labelled documents become transactions: their words and the area of the label. Parallel
-frequent-pattern growth mines them; frequent sets with an area are rules ``words -> area``. Rules that
-a shorter one makes redundant are pruned. A sentence's evidence for an area is what the matching rules
+frequent-pattern growth mines them; frequent sets of any length with an area are rules ``words -> area``.
+Words that don't lean to an area by themselves are kept out of the pattern trees, which would explode;
+pairs of two such words that lean to one together are counted apart and are rules too. Rules that a
+shorter one makes redundant are pruned. A sentence's evidence for an area is what the matching rules
 say, each word counting by the strongest rule it takes part in. The evidence is calibrated on sentences
 kept out of the mining: a monotone map gives the probability that the area of most evidence is right.
-A document is about the areas that hold at least a quarter of its sentences with an area.
+A sentence takes two words that speak for its area; a single one, however sure, isn't enough. A document
+is about the areas that hold at least a quarter of its sentences with an area.
 
 Labels belong to whole documents, are partly wrong and may name two areas, so mining runs twice: the
 first rules settle which of the sentences are about what, the second are mined from that. Sentences that
@@ -24,6 +27,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, SparkSession
@@ -66,24 +70,37 @@ def _outside(words: list[str], passages: frozenset[tuple[str, ...]]) -> list[str
     return [w for i, w in enumerate(words) if i not in inside] if inside else words
 
 
-def sentences(text: str | None, passages: frozenset[tuple[str, ...]] = frozenset()) -> list[frozenset[str]]:
-    """The words of each sentence that may have an area."""
+def passages_in(text: str | None) -> list[str]:
+    """The sentences of a text that may have an area, as they stand there."""
     if not text:
         return []
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    text = _CODE.sub(" \n\n", _LINK.sub(" ", text))
-    text = _TAG.sub(lambda m: "\n" if m[2][:2].lower() == "br" else " " if m[2][:1].lower() in "aibus" else "\n\n", text)
-    text = _SIGNATURE.sub("\n\n", _HEADER.sub("\n\n", _QUOTE.sub("", text)))
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "://" in text or "www." in text:
+        text = _LINK.sub(" ", text)
+    if "{" in text or "```" in text:
+        text = _CODE.sub(" \n\n", text)
+    if "<" in text:
+        text = _TAG.sub(lambda m: "\n" if m[2][:2].lower() == "br" else " " if m[2][:1].lower() in "aibus" else "\n\n", text)
+    if ">" in text or "|" in text:
+        text = _QUOTE.sub("", text)
+    if ":" in text or "eceived" in text:
+        text = _HEADER.sub("\n\n", text)
+    if "--" in text:
+        text = _SIGNATURE.sub("\n\n", text)
     text = _POSTSCRIPT.sub("\n\n\x02", text)
-    out = []
-    for part in _SENTENCE.split(text):
-        if part.lstrip().startswith("\x02"):
-            continue
-        found = words_of(part)
-        words = frozenset(w for w in (_outside(found, passages) if passages else found) if not w.isdigit())
-        if words:
-            out.append(words)
-    return out
+    return [part for part in _SENTENCE.split(text) if not part.lstrip().startswith("\x02")]
+
+
+def sentence_words(sentence: str, passages: frozenset[tuple[str, ...]] = frozenset()) -> frozenset[str]:
+    """The words of a sentence that may say what it is about."""
+    found = words_of(sentence)
+    return frozenset(w for w in (_outside(found, passages) if passages else found) if not w.isdigit())
+
+
+def sentences(text: str | None, passages: frozenset[tuple[str, ...]] = frozenset()) -> list[frozenset[str]]:
+    """The words of each sentence that may have an area."""
+    return [words for part in passages_in(text) if (words := sentence_words(part, passages))]
 
 
 @dataclass
@@ -95,33 +112,33 @@ class Rules:
     steps: list[tuple[float, float]] = field(default_factory=list)  # calibration: least evidence, probability
     passages: frozenset[tuple[str, ...]] = frozenset()
 
-    def evidence(self, words: frozenset[str]) -> list[float]:
-        """Evidence for each area."""
+    def shares(self, words: frozenset[str]) -> dict[tuple[str, int], float]:
+        """For each word and area the strongest share that a matching rule gives it."""
         best: dict[tuple[str, int], float] = {}
+        rules = self.by_word
         for w in words:
-            for need, area, weight in self.by_word.get(w, ()):
-                if need <= words:
+            for need, area, weight in rules.get(w, ()):
+                if len(need) == 1:
+                    if weight > best.get((w, area), 0.0):
+                        best[w, area] = weight
+                elif need <= words:
                     share = weight / len(need)
                     for x in need:
                         if share > best.get((x, area), 0.0):
                             best[x, area] = share
-        out = [0.0] * len(self.areas)
+        return best
+
+    def top(self, words: frozenset[str]) -> tuple[int, float, int]:
+        """The area of most evidence, its lead over the next, and how many of the words speak for it."""
+        best = self.shares(words)
+        if not best:
+            return -1, 0.0, 0
+        scores = [0.0] * len(self.areas)
         for (_, area), share in best.items():
-            out[area] += share
-        return out
-
-    def supporters(self, words: frozenset[str], area: int) -> int:
-        """How many of the words speak for the area."""
-        return len({x for w in words for need, a, _ in self.by_word.get(w, ()) if a == area and need <= words for x in need})
-
-    def top(self, words: frozenset[str]) -> tuple[int, float]:
-        """The area of most evidence and its lead over the next."""
-        scores = self.evidence(words)
-        if not scores:
-            return -1, 0.0
+            scores[area] += share
         area = max(range(len(scores)), key=scores.__getitem__)
         rest = max((s for i, s in enumerate(scores) if i != area), default=0.0)
-        return (area, scores[area] - rest) if scores[area] > 0 else (-1, 0.0)
+        return area, scores[area] - rest, sum(a == area for _, a in best)
 
     def probability(self, lead: float) -> float:
         p = 0.0
@@ -132,8 +149,8 @@ class Rules:
         return p
 
     def area_of(self, words: frozenset[str], sure: float) -> str | None:
-        area, lead = self.top(words)
-        if area < 0 or self.areas[area] == NO_AREA or self.probability(lead) < sure or self.supporters(words, area) < 2:
+        area, lead, supporters = self.top(words)
+        if area < 0 or self.areas[area] == NO_AREA or self.probability(lead) < sure or supporters < 2:
             return None
         return self.areas[area]
 
@@ -158,6 +175,36 @@ def calibrate(pairs: list[tuple[float, bool]], least: int = 20) -> list[tuple[fl
     return [(b[0], b[1] / b[2]) for b in blocks]
 
 
+def _leaning_together(transactions: list[tuple[str, frozenset[str]]], words: list[str], bar: dict[str, float], least_count: int) -> list[tuple[frozenset[str], str, int, int]]:
+    """Pairs of the words that lean to an area together: (pair, area, transactions with both of the area, with both at all)."""
+    at = {w: i for i, w in enumerate(words)}
+    groups = Counter((a, tuple(sorted(at[w] for w in found & at.keys()))) for a, found in transactions)
+    by_area: dict[str, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+    for (a, held), n in sorted(groups.items()):
+        if len(held) > 1:
+            by_area[a].append((held, n))
+    size = len(words)
+
+    def pairs(rows: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
+        out = np.zeros((size, size), np.float32)
+        for a in range(0, len(rows), 4096):
+            part = rows[a : a + 4096]
+            has = np.zeros((len(part), size), np.float32)
+            for i, (held, _) in enumerate(part):
+                has[i, list(held)] = 1
+            out += (has * np.array([n for _, n in part], np.float32)[:, None]).T @ has
+        return np.triu(out, 1)
+
+    counted = {a: pairs(rows) for a, rows in by_area.items()}
+    all_ = sum(counted.values()) if counted else np.zeros((0, 0), np.float32)
+    found = []
+    for area, n in counted.items():
+        for u, v in zip(*np.nonzero((all_ >= least_count) & (n >= bar[area] * all_) & (n > 0))):
+            if lower_bound(float(n[u, v]), float(all_[u, v])) >= bar[area]:
+                found.append((frozenset((words[u], words[v])), area, int(n[u, v]), int(all_[u, v])))
+    return found
+
+
 def mine(spark: SparkSession, transactions: list[tuple[str, frozenset[str]]], areas: list[str], *, least_count: int, least_confidence: float) -> Rules:
     """Rules from (area, words) pairs of a bounded sample."""
     rules = Rules(areas)
@@ -167,38 +214,40 @@ def mine(spark: SparkSession, transactions: list[tuple[str, frozenset[str]]], ar
     total = len(transactions)
     per_area = Counter(a for a, _ in transactions)
     prior = {a: n / total for a, n in per_area.items()}
-    # a word that leans to no area can't be part of an irredundant rule by itself; leaving it out keeps the pattern trees small
+    # words that lean to no area are left out here, which keeps the pattern trees small; pairs of them that do are counted apart
     seen: Counter[str] = Counter()
     with_area: Counter[tuple[str, str]] = Counter()
     for area, words in transactions:
         seen.update(words)
         with_area.update((w, area) for w in words)
-    leaning = {w for (w, a), n in with_area.items() if seen[w] >= least_count and lower_bound(n, seen[w]) >= min(0.9, max(least_confidence, 1.3 * prior[a]))}
-    rows = [([_CLASS + a, *sorted(words & leaning)],) for a, words in transactions if words & leaning]
+    bar = {a: min(0.9, max(least_confidence, 1.3 * p)) for a, p in prior.items()}
+    leaning = {w for (w, a), n in with_area.items() if seen[w] >= least_count and lower_bound(n, seen[w]) >= bar[a]}
+    rows = [[_CLASS + a, *sorted(words & leaning)] for a, words in transactions if words & leaning]
     if not rows:
         return rules
-    frame = spark.createDataFrame(rows, "items array<string>").repartition(spark.sparkContext.defaultParallelism)
+    frame = spark.createDataFrame(pa.table({"items": pa.array(rows, pa.list_(pa.string()))})).repartition(spark.sparkContext.defaultParallelism)
     found = FPGrowth(itemsCol="items", minSupport=least_count / len(rows), numPartitions=spark.sparkContext.defaultParallelism).fit(frame).freqItemsets
-    short = found.where(F.size("items") <= 4).collect()  # rules of up to three words; their number is bounded by the sample
+    mined = found.toArrow()  # their number is bounded by the sample
     counts: dict[frozenset[str], int] = {}
     joint: dict[tuple[frozenset[str], str], int] = {}
-    for items, n in short:
+    for items, n in zip(mined.column("items").to_pylist(), mined.column("freq").to_pylist()):
         marks = [x for x in items if x[0] == _CLASS]
         words = frozenset(x for x in items if x[0] != _CLASS)
         if not marks:
             counts[words] = n
         elif words:
             joint[words, marks[0][1:]] = n
+    for words, area, n, of in _leaning_together(transactions, [w for w, n in sorted(seen.items()) if n >= least_count and w not in leaning], bar, least_count):
+        counts[words], joint[words, area] = of, n
     confidence: dict[tuple[frozenset[str], str], float] = {}
+    reached: dict[tuple[frozenset[str], str], float] = {}  # of the rules with some or all of the words
     for (words, area), n in sorted(joint.items(), key=lambda x: len(x[0][0])):
         mine_ = lower_bound(n, counts[words])
-        if mine_ < max(least_confidence, 1.3 * prior[area]):
-            continue
-        shorter = max((confidence.get((words - {w}, area), 0.0) for w in words), default=0.0) if len(words) > 1 else 0.0
-        if len(words) > 2:
-            shorter = max(shorter, max(confidence.get((frozenset((w,)), area), 0.0) for w in words))
-        if mine_ > shorter + 0.02:
+        shorter = max((reached.get((words - {w}, area), 0.0) for w in words), default=0.0)
+        stands = mine_ >= max(least_confidence, 1.3 * prior[area]) and mine_ > shorter + 0.02
+        if stands:
             confidence[words, area] = mine_
+        reached[words, area] = mine_ if stands else shorter
     by_word: dict[str, list] = defaultdict(list)
     for (words, area), p in confidence.items():
         p = min(p, 0.995)
@@ -238,7 +287,7 @@ def train(spark: SparkSession, sample: list[tuple[str, list[str]]], areas: list[
         pairs = []
         for found, named in docs:
             for s in found:
-                area, lead = rules.top(s)
+                area, lead, _ = rules.top(s)
                 if area >= 0 and rules.areas[area] != NO_AREA:
                     pairs.append((lead, rules.areas[area] in named))
         return calibrate(pairs)
@@ -269,18 +318,19 @@ def assign(docs: DataFrame, key: str, text: str, rules: Rules, *, sure: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        remembered: dict[frozenset[str], str | None] = {}
+        remembered: dict[str, str | None] = {}
         for batch in batches:
             at, area, n, of = [], [], [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
                 counts: Counter[str] = Counter()
-                for words in sentences(value, held.passages):
-                    if words not in remembered:
-                        if len(remembered) > 100_000:
+                for part in passages_in(value):
+                    if part not in remembered:
+                        if len(remembered) > 200_000:  # the bound of this memory alone; what it forgets is worked out again
                             remembered.clear()
-                        remembered[words] = held.area_of(words, sure)
-                    if remembered[words] is not None:
-                        counts[remembered[words]] += 1
+                        words = sentence_words(part, held.passages)
+                        remembered[part] = held.area_of(words, sure) if words else None
+                    if remembered[part] is not None:
+                        counts[remembered[part]] += 1
                 total = sum(counts.values())
                 for a, k in sorted(counts.items()):
                     if k >= share * total:
