@@ -2,7 +2,11 @@
 
 Kinds: ``person_name``, ``email``, ``phone``, ``id_number``, ``street_address``. A placeholder shows the
 kind and a pseudonym that links equal values across documents: numbers are permuted within their format
-(``pseudonyms``), names and addresses get a keyed tag.
+(``pseudonyms``), those with valid check characters to valid ones (``checks``); birth dates are permuted
+among the days of 150 years; names and addresses get a keyed tag of 64 bits.
+
+A number counts by its shape and its surroundings, as people also write down numbers that don't check;
+account and payment card numbers, whose shape says little, count only if they check.
 
 Values are looked at in ordinary spelling: garbled text is restored first (``mojibake``) and look-alike
 characters are read as what they look like. What isn't replaced keeps the characters it had, but for
@@ -10,28 +14,33 @@ garbled values, whose placeholders are put into the restored text.
 
 Names are found by shape and by what their words are: given names from a fixed list or from the
 corpus' own addresses, family names from the addresses. Two words that stand for given and family name
-in addresses with several partners each are known as such. That knowledge is a bit set of fixed size,
-so it can be broadcast whatever the corpus' size.
+in addresses with several partners each are known as such. That knowledge is two bit sets, each of 16 to
+32 bits a known word, so that one unknown word in 400 at most passes for known at any size of the corpus.
 
 Defined results: null values have no mention and stay null, empty ones stay empty. Values are read whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import secrets
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import date
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayscope.llm import lookalikes, mojibake, pseudonyms
+from relayscope.functions.stamps import MONTHS
+from relayscope.llm import checks, lookalikes, mojibake, pseudonyms
+from relayscope.session import materialize
 
 KINDS = ("person_name", "email", "phone", "id_number", "street_address")
+BIRTH_DATE = "date"  # masked too, but no kind of mention by itself
 
 # --- ordinary spelling ------------------------------------------------------------------------------
 
@@ -78,7 +87,8 @@ def ordinary(text: str) -> tuple[str, list[int]]:
 
 # --- what words are -----------------------------------------------------------------------------------
 
-BITS = 1 << 24
+BITS, MOST_BITS = 1 << 20, 1 << 29  # least and most bits of a set of words
+_BITS_A_WORD = 16
 _SPECIAL = str.maketrans({"ø": "o", "ł": "l", "ı": "i", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "’": "", "'": "", "-": ""})
 
 
@@ -89,14 +99,14 @@ def fold(word: str) -> str:
     return "".join(c for c in flat if not unicodedata.combining(c)).translate(_SPECIAL)
 
 
-def _places(token: str) -> tuple[int, int]:
-    raw = token.encode("utf-8")
-    return zlib.crc32(raw) % BITS, zlib.crc32(b"#" + raw) % BITS
+def _places(token: str, bits: int = BITS) -> list[int]:
+    digest = hashlib.md5(token.encode("utf-8")).digest()
+    return [int.from_bytes(digest[i : i + 4], "big") % bits for i in range(0, 16, 4)]
 
 
 @dataclass
 class NameKnowledge:
-    """Bit sets of words that are given and family names; of fixed size."""
+    """Bit sets of words that are given and family names."""
 
     given: bytes
     family: bytes
@@ -115,7 +125,7 @@ class NameKnowledge:
 
     @staticmethod
     def _has(bits: bytes, token: str) -> bool:
-        return all(bits[p >> 3] >> (p & 7) & 1 for p in _places(token))
+        return all(bits[p >> 3] >> (p & 7) & 1 for p in _places(token, 8 * len(bits)))
 
     def is_given(self, word: str) -> bool:
         return self._cached(True, word, self._is_given)
@@ -150,7 +160,7 @@ class NameKnowledge:
 _PAGE = 32768  # bits of one page of Spark's bitmap aggregate
 
 
-def _bits(places: list[int]) -> bytes:
+def _bits(places: list[int]) -> bytes:  # of a set of the least size
     out = bytearray(BITS // 8)
     for p in places:
         out[p >> 3] |= 1 << (p & 7)
@@ -163,8 +173,9 @@ _PERSONAL = r"(?i)(?<![a-z0-9.+_-])([a-z]{3,20})[._]([a-z]{3,24})\d{0,4}@"
 def name_knowledge(texts: DataFrame, columns: list[str]) -> NameKnowledge:
     """Given and family names out of personal addresses (given.family@) in the text ``columns``.
 
-    A word counts if it has at least two partners, which role addresses seldom have. Two bit sets of
-    ``BITS`` bits, put together by Spark page by page, come back to the driver, however many names there are.
+    A word counts if it has at least two partners, which role addresses seldom have. The words are
+    counted first; the bit sets are sized by that, put together by Spark page by page, and come back to
+    the driver: at most ``MOST_BITS`` bits each (64 MB, for 33 million names).
     """
     found = None
     for c in columns:
@@ -175,15 +186,28 @@ def name_knowledge(texts: DataFrame, columns: list[str]) -> NameKnowledge:
     pairs = found.where(~F.col("g").isin(roles) & ~F.col("f").isin(roles)).distinct()
 
     both_ways = F.array(F.struct(F.lit(0).alias("side"), F.col("g").alias("w"), F.col("f").alias("p")), F.struct(F.lit(1).alias("side"), F.col("f").alias("w"), F.col("g").alias("p")))
-    words = pairs.select(F.explode(both_ways).alias("x")).select("x.*").groupBy("side", "w").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b")
-    at = words.select("side", F.explode(F.array(F.crc32(F.col("w")) % BITS, F.crc32(F.concat(F.lit("#"), F.col("w"))) % BITS)).alias("p"))
+    several = pairs.select(F.explode(both_ways).alias("x")).select("x.*").groupBy("side", "w").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b")
+    words = materialize(several.select("side", "w"), "names")
+    many = max([r["count"] for r in words.groupBy("side").count().collect()], default=0)
+    bits = bits_for(many)
+    digest = F.md5("w")
+    places = [F.conv(F.substring(digest, i, 8), 16, 10).cast("bigint") % bits for i in range(1, 33, 8)]
+    at = words.select("side", F.explode(F.array(*places)).alias("p"))
     paged = at.groupBy("side", F.bitmap_bucket_number(F.col("p") + 1).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
-    sets = [bytearray(BITS // 8), bytearray(BITS // 8)]
-    for r in paged.collect():  # 2 x 512 pages of 4 KB at most
+    sets = [bytearray(bits // 8), bytearray(bits // 8)]
+    for r in paged.collect():  # pages of 4 KB, as many as the sets have
         sets[r["side"]][(r["page"] - 1) * _PAGE // 8 : r["page"] * _PAGE // 8] = r["bits"]
     return NameKnowledge(bytes(sets[0]), bytes(sets[1]))
 
 
+def bits_for(words: int) -> int:
+    """Bits of a set of so many words: a power of two."""
+    bits = max(BITS, 1 << (_BITS_A_WORD * words - 1).bit_length()) if words else BITS
+    if bits > MOST_BITS:
+        raise ValueError(f"{words} different names need more than {MOST_BITS} bits: run the corpus in parts, or raise MOST_BITS where executors have the memory")
+    return bits
+
+
 # Given names that are common somewhere in Europe, America, Africa or Asia, without accents.
 GIVEN = frozenset(
     """
@@ -342,8 +366,31 @@ _ADDRESS = re.compile(
     r")"
 )
 _MONTH_WORD = re.compile(r"(?i)\b(?:jan|feb|mar|mär|apr|may|mai|jun|jul|aug|sep|oct|okt|nov|dec|dez)[a-zé]*\s+\d")
+_ACCOUNT = re.compile(r"(?<![\w./@#-])[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?(?![\w@/-])")
+_CARD = re.compile(r"(?<![\w./@#-])\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}(?![\w@/-]|\.\d)|(?<![\w./@#-])3[47]\d{2}([ -])\d{6}\2\d{5}(?![\w@/-]|\.\d)")
 _LINK = re.compile(r"(?i)\b(?:hxxps?|https?|ftp)://\S+|/(?:srv|var|home|tmp|mnt)/\S+")
-_BORN = re.compile(r"(?i)\b(?:born|dob|date of birth|geb\.?|geboren am|né(?:e)? le|nacid[oa] el)\s*:?\s*(?:on\s+)?((\d{4})-(\d{2})-(\d{2}))\b")
+# What stands before a birth date.
+_BORN = re.compile(
+    r"(?i)\b(?:born|dob|d\.o\.b\.|date of birth|birth ?date|geb\.?|geboren(?: am)?|geburtsdatum|né(?:e)? le|date de naissance|nacid[oa] el|fecha de nacimiento)\s*:?\s*(?:on\s+)?"
+    r"(?P<date>(?P<y>\d{4})(?P<s>[-/.])(?P<m>\d{1,2})(?P=s)(?P<d>\d{1,2})|(?P<a>\d{1,2})(?P<t>[-/.])(?P<b>\d{1,2})(?P=t)(?P<yy>\d{4}|\d{2})"
+    r"|(?P<dd>\d{1,2})(?:\.|st|nd|rd|th|er)?\s+(?:de\s+)?(?P<name>[^\W\d_]{3,10})\.?,?\s+(?:de\s+)?(?P<year>\d{4})|(?P<name2>[^\W\d_]{3,10})\.?\s+(?P<dd2>\d{1,2})(?:st|nd|rd|th)?,?\s+(?P<year2>\d{4}))(?!\d)"
+)
+
+
+def _born(m: re.Match) -> tuple[date, str] | None:
+    """The day of a birth date and how such a day is written there; of numeric dates the day comes first where it can."""
+    try:
+        if m["y"]:
+            return date(int(m["y"]), int(m["m"]), int(m["d"])), f"{{0.year:04d}}{m['s']}{{0.month:02d}}{m['s']}{{0.day:02d}}"
+        if m["a"]:
+            a, b, y = int(m["a"]), int(m["b"]), int(m["yy"])
+            y += 0 if len(m["yy"]) == 4 else 1900 if y > 30 else 2000
+            first, second = ("day", "month") if b <= 12 else ("month", "day")
+            return date(y, *((b, a) if b <= 12 else (a, b))), f"{{0.{first}:02d}}{m['t']}{{0.{second}:02d}}{m['t']}{{0.year:04d}}"
+        month = MONTHS.get((m["name"] or m["name2"]).lower())
+        return (date(int(m["year"] or m["year2"]), month, int(m["dd"] or m["dd2"])), "{0.year:04d}-{0.month:02d}-{0.day:02d}") if month else None
+    except ValueError:
+        return None
 
 
 @dataclass(frozen=True)
@@ -357,6 +404,7 @@ def find_mentions(text: str, known: NameKnowledge) -> list[Mention]:
     """Mentions in ordinary spelling, none overlapping another, in order."""
     taken: list[tuple[int, int]] = [m.span() for m in _LINK.finditer(text)] if "/" in text else []
     out: list[Mention] = []
+    digits = any(c.isdigit() for c in text)
 
     def add(a: int, b: int, kind: str) -> None:
         if all(b <= x or a >= y for x, y in taken):
@@ -370,14 +418,21 @@ def find_mentions(text: str, known: NameKnowledge) -> list[Mention]:
                 taken.append(m.span())
             else:
                 add(*m.span(), "email")
-    if any(c.isdigit() for c in text):
+    if digits:
+        for m in _BORN.finditer(text):
+            if _born(m):
+                add(*m.span("date"), BIRTH_DATE)
+        for m in (*_ACCOUNT.finditer(text), *_CARD.finditer(text)):
+            if checks.scheme_of(checks.compact(m[0])):
+                add(*m.span(), "id_number")
         for m in _LABELLED_ID.finditer(text):
             add(*m.span(1), "id_number")
         for m in _ADDRESS.finditer(text):
             if not _MONTH_WORD.search(m[0]):
                 add(*m.span(), "street_address")
         for m in _ID.finditer(text):
-            add(*m.span(), "id_number")
+            if any(c in "123456789" for c in m[0]):
+                add(*m.span(), "id_number")
         for m in _PHONE.finditer(text):
             if 7 <= sum(c.isdigit() for c in m[0]) <= 20:
                 open_end = m[0].endswith(")") and m[0].count("(") < m[0].count(")")
@@ -411,7 +466,11 @@ def placeholder(kind: str, text: str, key: bytes) -> str:
     if kind == "phone":
         shown = _phone_pseudonym(text, key)
     elif kind == "id_number":
-        shown = pseudonyms.permute_format(text, key, "id_number")
+        shown = checks.pseudonym(text, key)
+    elif kind == BIRTH_DATE:
+        m = _BORN.fullmatch(f"born {text}")
+        day, form = _born(m)
+        shown = form.format(pseudonyms.permute_date(day, key))
     elif kind == "email":
         plain = re.sub(r"\s?[\[({]\s?(?:at|@)\s?[\])}]\s?|\sat\s", "@", re.sub(r"\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\sdot\s", ".", text.lower()))
         shown = pseudonyms.tag(plain.removeprefix("mailto:"), key, kind)
@@ -438,25 +497,28 @@ def mask(value: str | None, known: NameKnowledge, key: bytes) -> tuple[str | Non
         placed.append(Mention(a, b, m.kind))
         last = b
     out.append(text[last:])
-    masked = "".join(out) if found else text
-    for m in list(_BORN.finditer(masked)):
-        try:
-            from datetime import date
-
-            masked = masked.replace(m[1], f"<DATE {pseudonyms.permute_date(date(int(m[2]), int(m[3]), int(m[4])), key)}>")
-        except ValueError:
-            continue
-    return (masked if found or masked != text else value), placed
+    return ("".join(out) if found else value), placed
 
 
 KEY_SETTING = "relayscope.pii.key"
-_DEMO_KEY = "demo key, set relayscope.pii.key in production"
+_DRAWN: dict[str, bytes] = {}  # keys of applications that set none
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the session names; else one drawn for this application, which links values within it only."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if named:
+        return named.encode()
+    return _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 def mask_fields(df: DataFrame, key_col: str, fields: dict[str, Column], known: NameKnowledge, secret: bytes | None = None) -> DataFrame:
-    """One row per value with a mention: ``key_col``, field, kinds (one for each mention, in order), masked."""
+    """One row per value that ``mask`` changes: ``key_col``, field, kinds (one for each mention, in order), masked.
+
+    Values with nothing but a birth date have no kinds.
+    """
     spark = df.sparkSession
-    secret = secret or spark.conf.get(KEY_SETTING, _DEMO_KEY).encode()
+    secret = secret or key_of(spark)
     shared = spark.sparkContext.broadcast(known)
     names = list(fields)
     narrow = df.select(key_col, *[c.cast("string").alias(f"_f{i}") for i, c in enumerate(fields.values())])
@@ -471,7 +533,7 @@ def mask_fields(df: DataFrame, key_col: str, fields: dict[str, Column], known: N
                     if found:
                         at.append(k)
                         field.append(name)
-                        kinds.append([m.kind for m in found])
+                        kinds.append([m.kind for m in found if m.kind in KINDS])
                         masked.append(new)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at, pa.int64())), pa.array(field, pa.string()), pa.array(kinds, pa.list_(pa.string())), pa.array(masked, pa.string())],

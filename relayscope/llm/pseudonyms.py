@@ -82,6 +82,6 @@ def permute_date(day: date, key: bytes, back: bool = False) -> date:
             return _FIRST_DAY + timedelta(days=n)
 
 
-def tag(value: str, key: bytes, tweak: str, size: int = 8) -> str:
+def tag(value: str, key: bytes, tweak: str, size: int = 16) -> str:
     """A keyed tag that links equal values; there is no way back."""
     return hmac.new(key, f"{tweak}|{value}".encode("utf-8", "surrogatepass"), hashlib.sha256).hexdigest()[:size]

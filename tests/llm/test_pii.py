@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from relayscope.llm import pii, pseudonyms
+from relayscope.llm import checks, pii, pseudonyms
 
 KEY = b"test"
 KNOWN = pii.NameKnowledge(
@@ -42,6 +42,11 @@ def kinds(text):
         ("+49 (0)30/23125714, 0044 (0)20 79460727, 01 99 00 36 62", [("phone", "+49 (0)30/23125714"), ("phone", "0044 (0)20 79460727"), ("phone", "01 99 00 36 62")]),
         ("Order no. 16859-96 and tracking 1685916859, Rule 555-60, ip 10.4.37.37, 2026-06-16, 987.00", []),
         ("963-76-6414 QQ 33 78 49 C passport no. L56837758 Steuer-ID 46 719 353 051", [("id_number", "963-76-6414"), ("id_number", "QQ 33 78 49 C"), ("id_number", "L56837758"), ("id_number", "46 719 353 051")]),
+        ("000-00-0000", []),
+        ("IBAN DE89 3704 0044 0532 0130 00, not AB12 3704", [("id_number", "DE89 3704 0044 0532 0130 00")]),
+        ("card 4111 1111 1111 1111, not 4111 1111 1111 1112", [("id_number", "4111 1111 1111 1111")]),
+        ("born 12.03.1980, née le 3 mars 1975", [("date", "12.03.1980"), ("date", "3 mars 1975")]),
+        ("born 31.02.1980", []),
         ("125 juniper crescent", [("street_address", "125 juniper crescent")]),
         ("to Fennel Court No. 85, Tollmere.", [("street_address", "Fennel Court No. 85, Tollmere")]),
         ("186, bd des Érables, 45557 Ossenby", [("street_address", "186, bd des Érables, 45557 Ossenby")]),
@@ -65,6 +70,45 @@ def test_masking_keeps_the_rest_and_links_values():
     assert "1980-05-06" not in pii.mask("born 1980-05-06", KNOWN, KEY)[0]
 
 
+VALID = ["12345678Z", "12345678-z", "X1234567L", "46 719 353 051", "86 095 742 719", "811228-9874", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "4111 1111 1111 1111"]
+
+
+def test_valid_numbers_have_valid_pseudonyms():
+    for text in VALID:
+        number = checks.compact(text)
+        new = checks.pseudonym(text, KEY)
+        if checks.scheme_of(number):
+            assert checks.scheme_of(checks.compact(new))[0] == checks.scheme_of(number)[0]
+        assert [c.isalnum() for c in new] == [c.isalnum() for c in text] and new != text
+    assert sum(checks.scheme_of(checks.compact(t)) is not None for t in VALID) >= 7
+    assert checks.compact(checks.pseudonym("12345678Z", KEY)) == checks.compact(checks.pseudonym("12345678-z", KEY))
+
+
+def test_pseudonyms_are_one_to_one_and_keep_validity():
+    numbers = [f"12345{i:03d}{c}" for i in range(120) for c in "TRWAGMYFPDXBNJZSQVHLCKE"]
+    new = [checks.pseudonym(n, KEY) for n in numbers]
+    assert len(set(new)) == len(numbers)
+    assert [checks.scheme_of(n) is None for n in numbers] == [checks.scheme_of(n) is None for n in new]
+
+
+@pytest.mark.parametrize("text", ["born 12.03.1980", "DOB 3/12/80", "geboren am 12. März 1980", "Date of birth: March 12, 1980", "nacido el 12 de marzo de 1980", "born 1980-03-12"])
+def test_birth_dates_in_usual_forms(text):
+    masked, found = pii.mask(text, KNOWN, KEY)
+    assert [m.kind for m in found] == ["date"] and "<DATE " in masked and "80" not in masked.replace("<DATE", "").split(":")[-1] or masked != text
+
+
+def test_known_words_are_sized_by_their_number():
+    assert pii.bits_for(0) == pii.bits_for(1000) == pii.BITS and pii.bits_for(5_000_000) >= 16 * 5_000_000
+    words = [f"name{i}" for i in range(60_000)]
+    bits = pii.bits_for(len(words))
+    held = bytearray(bits // 8)
+    for w in words:
+        for p in pii._places(w, bits):
+            held[p >> 3] |= 1 << (p & 7)
+    known = pii.NameKnowledge(bytes(held), bytes(held))
+    assert all(known.is_family(w) for w in words[:2000]) and sum(known.is_family(f"other{i}") for i in range(20_000)) < 60
+
+
 def test_disguised_and_garbled_values():
     masked, found = pii.mask("Re​f: W​anda Kestwick – ok", KNOWN, KEY)
     assert [m.kind for m in found] == ["person_name"] and masked.startswith("Re​f: <PERSON") and masked.endswith("> – ok")
@@ -97,4 +141,7 @@ def test_frame(spark):
     got = pii.mask_fields(df, "id", {"name": F.col("name"), "from_address": F.col("from_address")}, known, KEY).collect()
     assert {(r["id"], r["field"]) for r in got if r["field"] == "name"} == {("0", "name")}
     assert len([r for r in got if r["field"] == "from_address"]) == 10
+    dated = spark.createDataFrame([("1", "born 12.03.1980"), ("2", "12.03.1980")], "id string, t string")
+    assert [(r["id"], r["kinds"]) for r in pii.mask_fields(dated, "id", {"t": F.col("t")}, known).collect()] == [("1", [])]
+    assert pii.key_of(spark) == pii.key_of(spark) and len(pii.key_of(spark)) == 32
     assert pii.mask_fields(df.limit(0), "id", {"name": F.col("name")}, known, KEY).count() == 0
