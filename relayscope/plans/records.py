@@ -9,7 +9,7 @@ from relayscope.functions.messages import delivery_key, record_field
 from relayscope.operators.nested import AUTH_CHILDREN, AUTH_PLACES, META_PLACES, children, shred
 from relayscope.operators.timestamps import normalise
 from relayscope.sources.tables import table
-from relayscope.streaming.dedupe import run_dedupe, surplus_ids
+from relayscope.streaming.dedupe import kept_ids, run_dedupe, surplus_ids
 
 READ_STATUS = "complete"
 
@@ -45,8 +45,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_kept(spark: SparkSession, folder: str) -> DataFrame:
     """The copies that stay: id."""
-    surplus = p3_found(spark, folder)
-    return table(spark, folder, "analyses").select("id").join(surplus, "id", "left_anti")
+    return kept_ids(_delivery_log(spark, folder)).select("id")
 
 
 def _stamps(spark: SparkSession, folder: str) -> DataFrame:
