@@ -41,6 +41,8 @@ LOW_PERPLEXITY_WEIGHT = 5
 MALICIOUS_FROM, SUSPICIOUS_FROM = 70, 30
 
 # --- fixed values: lookalike rules -------------------------------------------------------------------
+#: Most brands that domains are set against at once.
+MOST_BRANDS = 10_000
 MAX_EDITS, MIN_JARO_WINKLER, MAX_TOKEN_EDITS = 2, 0.92, 1
 TRUSTED_BRANDS = (
     "paypal.com apple.com microsoft.com google.com amazon.com facebook.com instagram.com linkedin.com netflix.com dropbox.com "

@@ -65,6 +65,23 @@ def _ipv6_valid(ips: pd.Series) -> pd.Series:
     return ips.map(test)
 
 
+@F.pandas_udf(T.StringType())
+def _ipv6_digits(ips: pd.Series) -> pd.Series:
+    def digits(text: str | None) -> str | None:
+        try:
+            ip = ipaddress.ip_address(text.split("%")[0]) if text else None
+        except ValueError:
+            return None
+        return f"{int(ip):032x}" if ip is not None and ip.version == 6 else None
+
+    return ips.map(digits)
+
+
+def ipv6_hex(ip: Column) -> Column:
+    """The address as 32 hexadecimal digits, which sort as the addresses do; null if it isn't IPv6. Only values with a colon reach Python."""
+    return F.when(ip.contains(":"), _ipv6_digits(F.when(ip.contains(":"), ip)))
+
+
 def is_bogon(ip: Column, ipv6: bool = True) -> Column:
     """Private, loopback, link-local, reserved, unspecified or multicast; documentation ranges and whatever isn't an address are not.
 

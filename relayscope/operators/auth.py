@@ -71,6 +71,9 @@ def parse(df: DataFrame, header: str) -> DataFrame:
     return out.withColumns(named | {"dmarc_policy": F.coalesce(policy_of(F.col("dmarc_segment")), F.lit("unknown"))})
 
 
+_LATEST = 253_402_300_799  # 9999-12-31T23:59:59Z
+
+
 def dkim_tags(signature: Column) -> Column:
     """Tags of a DKIM signature as a map; of equal tags the last counts."""
     pairs = F.filter(F.transform(F.split(signature, ";"), lambda p: F.trim(p)), lambda p: p.contains("="))
@@ -83,7 +86,8 @@ def dkim_tags(signature: Column) -> Column:
 def dkim_expiry(df: DataFrame, signature: str, message_time: str, as_of: Column | None = None) -> DataFrame:
     """``df`` with dkim_signature_present, dkim_expiry and dkim_signature_expired (before the message time, else before ``as_of``)."""
     tag = F.try_element_at(dkim_tags(F.col(signature)), F.lit("x"))
-    expiry = F.when(tag.rlike(r"^\d{1,11}$"), F.timestamp_seconds(tag.cast("bigint")))
+    # however long the number is; times beyond the last year there is count as its end
+    expiry = F.when(tag.rlike(r"^\d+$"), F.timestamp_seconds(F.least(F.coalesce(tag.try_cast("bigint"), F.lit(_LATEST)), F.lit(_LATEST))))
     reference = F.coalesce(F.col(message_time), as_of) if as_of is not None else F.col(message_time)
     return (
         df.withColumn("dkim_signature_present", F.coalesce(F.col(signature) != "", F.lit(False)))

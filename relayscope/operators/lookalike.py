@@ -9,11 +9,11 @@ own domain isn't a lookalike of it. Null and blank domains have no matches; repe
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relayscope.config import CONFUSABLE_FROM, CONFUSABLE_TO, MAX_EDITS, MAX_TOKEN_EDITS, MIN_JARO_WINKLER, TRUSTED_BRANDS
+from relayscope.config import CONFUSABLE_FROM, CONFUSABLE_TO, MAX_EDITS, MAX_TOKEN_EDITS, MIN_JARO_WINKLER, MOST_BRANDS, TRUSTED_BRANDS
 
 
 def normal_domain(domain: Column) -> Column:
@@ -93,18 +93,33 @@ def brand_word(mark: Column, brand_label: Column) -> Column:
     return F.when(F.size(words) > 1, F.get(near, F.lit(0)))
 
 
-def against_brands(domains: DataFrame, domain: str, brands: list[str] | None = None) -> DataFrame:
+def brand_list(brands: list[str] | DataFrame | None) -> list[str]:
+    """Brands in their order, of a table in that of their names; at most ``MOST_BRANDS``, also of a table."""
+    if isinstance(brands, DataFrame):
+        names = sorted(r[0] for r in brands.select(F.col(brands.columns[0]).cast("string")).where(F.col(brands.columns[0]).isNotNull()).distinct().limit(MOST_BRANDS + 1).collect())
+    else:
+        names = list(TRUSTED_BRANDS if brands is None else brands)
+    if len(names) > MOST_BRANDS:
+        raise ValueError(f"more than {MOST_BRANDS} trusted brands: call this once for each block of them")
+    return names
+
+
+def read_brands(spark: SparkSession, path: str) -> DataFrame:
+    """Brands of a text file, one a line; list marks, quotes, blank lines and comments are left out."""
+    line = F.regexp_replace(F.regexp_replace("value", r"(?:^|\s)#.*$", ""), r"^[\s'\"-]+|[\s'\"]+$", "")
+    return spark.read.text(path).select(F.lower(line).alias("brand")).where("brand <> ''")
+
+
+def against_brands(domains: DataFrame, domain: str, brands: list[str] | DataFrame | None = None) -> DataFrame:
     """Distinct ``domain`` with shown form, skeleton, is_punycode, and a row for each brand: position, brand."""
-    names = list(TRUSTED_BRANDS if brands is None else brands)
-    if len(names) > 10_000:
-        raise ValueError("more than 10 000 trusted brands: call this once for each block of them")
+    names = brand_list(brands)
     listed = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(b).alias("brand"), F.lit(b.lower()).alias("plain")) for i, b in enumerate(names)])
     distinct = domains.select(normal_domain(F.col(domain)).alias("domain")).where("domain <> ''").distinct()
     shown = distinct.withColumn("is_punycode", F.col("domain").contains("xn--")).withColumn("decoded_unicode", decoded(F.col("domain"))).withColumn("shown", F.coalesce("decoded_unicode", "domain"))
     return shown.withColumn("skeleton", skeleton(F.col("shown"))).withColumn("b", F.explode(listed)).select("*", "b.position", "b.brand", F.col("b.plain").alias("brand_plain")).drop("b").where("shown <> brand_plain")
 
 
-def matches(domains: DataFrame, domain: str, brands: list[str] | None = None) -> DataFrame:
+def matches(domains: DataFrame, domain: str, brands: list[str] | DataFrame | None = None) -> DataFrame:
     """domain, is_punycode, decoded_unicode, position, brand, method, detail of each match."""
     pairs = against_brands(domains, domain, brands)
     edits = F.levenshtein("shown", "brand_plain")

@@ -17,6 +17,7 @@ from relayscope.config import (
     IP_LITERAL_WEIGHT,
     LOW_PERPLEXITY_WEIGHT,
     MALICIOUS_FROM,
+    MOST_BRANDS,
     NEW_DOMAIN_WEIGHT,
     PHISHING_THRESHOLD,
     PHISHING_WEIGHT,
@@ -24,6 +25,7 @@ from relayscope.config import (
     SUSPICIOUS_FROM,
     WEIGHTS,
 )
+from relayscope.operators.urls import host_of
 
 
 def weight_of(group: str, key: Column, default: int | None = None) -> Column:
@@ -33,7 +35,7 @@ def weight_of(group: str, key: Column, default: int | None = None) -> Column:
 
 
 def _factor(part: int, ordinal: Column, name: Column, weight: Column, evidence: Column, category: str) -> Column:
-    return F.struct(F.lit(part).alias("part"), ordinal.cast("int").alias("ordinal"), name.alias("name"), weight.cast("int").alias("weight"), evidence.cast("string").alias("evidence"), F.lit(category).alias("category"))
+    return F.struct(F.lit(part).alias("part"), ordinal.cast("bigint").alias("ordinal"), name.alias("name"), weight.cast("int").alias("weight"), evidence.cast("string").alias("evidence"), F.lit(category).alias("category"))
 
 
 def _emit(df: DataFrame, factors: Column) -> DataFrame:
@@ -68,12 +70,18 @@ def _ai_text(source: Column, flag: Column) -> Column:
     return _factor(8, F.lit(0), F.lit("Email body reads as unusually predictable to a reference language model"), F.when((source == "onnx-model") & flag, LOW_PERPLEXITY_WEIGHT), F.lit("a weak, informational signal only"), "ai_text")
 
 
-def _url(ordinal: Column, raw_url: Column, literal: Column, claim: Column, new: Column) -> Column:
+def _quoted(text: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit("None"))
+
+
+def _url(ordinal: Column, raw_url: Column, host: Column, literal: Column, mismatch: Column, claimed: Column, new: Column, age: Column) -> Column:
     at = ordinal * 3
+    said = F.concat(F.lit("anchor text claims "), _quoted(claimed), F.lit(", actual destination is "), _quoted(host), F.lit(" ("), raw_url, F.lit(")"))
+    since = F.concat(F.coalesce(host, F.lit("None")), F.lit(" registered "), F.coalesce(age.cast("string"), F.lit("?")), F.lit(" days ago"))
     return F.array(
         _factor(6, at, F.lit("Link uses a bare IP address instead of a domain"), F.when(literal, IP_LITERAL_WEIGHT), raw_url, "url_analysis"),
-        _factor(6, at + 1, F.lit("Link text claims a different domain than its destination"), F.when(claim, ANCHOR_MISMATCH_WEIGHT), raw_url, "url_analysis"),
-        _factor(6, at + 2, F.lit("Link points to a newly registered domain"), F.when(new, NEW_DOMAIN_WEIGHT), raw_url, "url_analysis"),
+        _factor(6, at + 1, F.lit("Link text claims a different domain than its destination"), F.when(mismatch, ANCHOR_MISMATCH_WEIGHT), said, "url_analysis"),
+        _factor(6, at + 2, F.lit("Link points to a newly registered domain"), F.when(new, NEW_DOMAIN_WEIGHT), since, "url_analysis"),
     )
 
 
@@ -102,21 +110,34 @@ def lookalike_factors(found: DataFrame, where: str) -> DataFrame:
 
 
 def url_factors(urls: DataFrame) -> DataFrame:
-    """Of (msg_id, ordinal, raw_url, is_ip_literal, anchor_text_mismatch, is_newly_registered)."""
-    return _emit(urls, _url(F.col("ordinal"), F.col("raw_url"), F.col("is_ip_literal"), F.col("anchor_text_mismatch"), F.col("is_newly_registered")))
+    """Of (msg_id, ordinal, raw_url, host, is_ip_literal, anchor_text_mismatch, is_newly_registered, and anchor_claimed_domain and age_days if there)."""
+    there = lambda c, kind: F.col(c) if c in urls.columns else F.lit(None).cast(kind)
+    return _emit(urls, _url(F.col("ordinal"), F.col("raw_url"), F.col("host"), F.col("is_ip_literal"), F.col("anchor_text_mismatch"), there("anchor_claimed_domain", "string"), F.col("is_newly_registered"), there("age_days", "int")))
 
 
 def signal_factors(signals: DataFrame) -> DataFrame:
     """Of (msg_id, s), the stored signals in nested form: all their factors in one pass over the record.
 
-    ``s``: sender_domain_lookalike (domain, is_punycode, matches), urls.urls, phishing, ai_text.
+    ``s``: sender_domain_lookalike (domain, is_punycode, matches), urls.urls (each with a lookalike of the
+    same form), phishing, ai_text.
     """
     sender = F.col("s.sender_domain_lookalike")
     matches = F.coalesce(sender["matches"], F.array().cast("array<struct<matched_brand:string,method:string,detail:string>>"))
     looks = F.transform(matches, lambda m, i: _factor(5, i * 2, F.concat(F.lit("Sender address looks like "), m["matched_brand"]), weight_of("sender_lookalike", m["method"]), m["detail"], "lookalike_domain"))
     bonus = _factor(5, F.size(matches) * 2, F.lit("Sender address uses punycode/IDN encoding"), F.when(sender["is_punycode"] & (F.size(matches) > 0), PUNYCODE_BONUS), sender["domain"], "lookalike_domain")
-    links = F.flatten(F.transform(F.col("s.urls.urls"), lambda u, i: _url(i, u["raw_url"], u["is_ip_literal"], u["anchor_text_mismatch"], u["is_newly_registered"])))
     none = F.filter(F.array(bonus), lambda f: F.lit(False))
+
+    def link(u: Column, i: Column) -> Column:
+        host = F.coalesce(u["host"], host_of(u["raw_url"]))
+        own = _url(i, u["raw_url"], host, u["is_ip_literal"], u["anchor_text_mismatch"], u["anchor_claimed_domain"], u["is_newly_registered"], u["domain_intel"]["age_days"])
+        like, context = u["lookalike"], F.concat(F.lit("Link to "), host)
+        found = F.coalesce(like["matches"], F.array().cast("array<struct<matched_brand:string,method:string,detail:string>>"))
+        at = i.cast("bigint") * 2 * (MOST_BRANDS + 1)
+        seen = F.transform(found, lambda m, k: _factor(7, at + k * 2, F.concat(context, F.lit(" looks like "), m["matched_brand"]), weight_of("url_lookalike", m["method"]), m["detail"], "lookalike_domain"))
+        coded = _factor(7, at + F.size(found) * 2, F.concat(context, F.lit(" uses punycode/IDN encoding")), F.when(like["is_punycode"] & (F.size(found) > 0), PUNYCODE_BONUS), like["domain"], "lookalike_domain")
+        return F.concat(own, seen, F.array(coded))
+
+    links = F.flatten(F.transform(F.col("s.urls.urls"), link))
     alone = F.array(_phishing(F.col("s.phishing.source"), F.col("s.phishing.phishing_probability")), bonus, _ai_text(F.col("s.ai_text.source"), F.col("s.ai_text.low_perplexity_flag")))
     return _emit(signals, F.concat(alone, looks, F.coalesce(links, none)))
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relayscope.config import MOST_BRANDS
 from relayscope.operators import anomalies, attribution, auth, geo, iocs, lookalike, models, relay, scoring, urls
 from relayscope.sources import messages
 
@@ -58,7 +59,7 @@ def generate(
     found = lookalike.matches(sender.select("domain").unionAll(named.select("domain")), "domain", brands)
     normal = lookalike.normal_domain(F.col("domain"))
     sent = sender.withColumn("domain", normal).join(found, "domain").withColumn("ordinal", F.col("position"))
-    linked = named.withColumn("domain", normal).join(found, "domain").withColumn("ordinal", F.col("url_ordinal") * 1000 + F.col("position"))
+    linked = named.withColumn("domain", normal).join(found, "domain").withColumn("ordinal", F.col("url_ordinal").cast("bigint") * MOST_BRANDS + F.col("position"))
     text = m.select("msg_id", F.concat(F.coalesce("subject", F.lit("")), F.lit("\n\n"), F.coalesce("body", F.lit(""))).alias("text"), F.coalesce("body", F.lit("")).alias("plain"))
     factors = scoring.union(
         [

@@ -10,6 +10,7 @@ from relayscope.functions.messages import record_text
 from relayscope.functions.net import cidr_bounds, is_bogon, is_ip, organisation_domain
 from relayscope.operators import anomalies as rules
 from relayscope.operators import attribution, auth, dataprep, exports, geo, iocs, lookalike, models, relay, reports, scoring, store, urls
+from relayscope.plans.records import elements, whole_record
 from relayscope.sources import messages as raw
 from relayscope.sources.tables import table
 
@@ -67,7 +68,8 @@ def _anomalies(spark: SparkSession, folder: str) -> DataFrame:
 
 _SIGNALS = (
     "sender_domain_lookalike struct<domain:string,is_punycode:boolean,matches:array<struct<matched_brand:string,method:string,detail:string>>>, "
-    "urls struct<urls:array<struct<raw_url:string,scheme:string,host:string,is_ip_literal:boolean,anchor_text:string,anchor_text_mismatch:boolean,unwrapped_target:string,is_newly_registered:boolean>>>, "
+    "urls struct<urls:array<struct<raw_url:string,scheme:string,host:string,is_ip_literal:boolean,anchor_text:string,anchor_claimed_domain:string,anchor_text_mismatch:boolean,unwrapped_target:string,is_newly_registered:boolean,"
+    "domain_intel:struct<age_days:int>,lookalike:struct<domain:string,is_punycode:boolean,matches:array<struct<matched_brand:string,method:string,detail:string>>>>>>, "
     "phishing struct<source:string,phishing_probability:double>, ai_text struct<source:string,low_perplexity_flag:boolean>"
 )
 
@@ -82,9 +84,10 @@ def _stored_urls(spark: SparkSession, folder: str) -> DataFrame:
     return held.select("msg_id", "ordinal", "u.raw_url", F.coalesce("u.host", urls.host_of(F.col("u.raw_url"))).alias("host"), F.coalesce("u.is_ip_literal", F.lit(False)).alias("is_ip_literal"), F.coalesce("u.anchor_text_mismatch", F.lit(False)).alias("anchor_text_mismatch"), "u.unwrapped_target", "u.is_newly_registered")
 
 
-_URLS_SQL = f"""SELECT a.id AS msg_id, i.i - 1 AS ordinal, json_extract_string(s, '$.urls.urls[' || CAST(i.i - 1 AS VARCHAR) || '].raw_url') AS raw_url,
- coalesce(CAST(json_extract_string(s, '$.urls.urls[' || CAST(i.i - 1 AS VARCHAR) || '].is_ip_literal') AS BOOLEAN), false) AS is_ip_literal
-FROM (SELECT id, {_rec('ai_signals_json')} AS s FROM analyses) a, generate_series(1, 64) i(i) WHERE i.i <= coalesce(json_array_length(s, '$.urls.urls'), 0)"""
+_LINKS = "'$.urls.urls[' || CAST(i AS VARCHAR) || ']"
+_URLS_SQL = f"""SELECT msg_id, i AS ordinal, json_extract_string(s, {_LINKS}.raw_url') AS raw_url, coalesce(CAST(json_extract_string(s, {_LINKS}.is_ip_literal') AS BOOLEAN), false) AS is_ip_literal,
+ coalesce(CAST(json_extract_string(s, {_LINKS}.anchor_text_mismatch') AS BOOLEAN), false) AS mismatch, coalesce(CAST(json_extract_string(s, {_LINKS}.is_newly_registered') AS BOOLEAN), false) AS is_new, json_extract(s, {_LINKS}.lookalike') AS lookalike
+FROM (SELECT id AS msg_id, s, unnest(range(CAST(coalesce(json_array_length(s, '$.urls.urls'), 0) AS BIGINT))) AS i FROM (SELECT id, {_rec('ai_signals_json')} AS s FROM analyses))"""
 
 # --- authentication -------------------------------------------------------------------------------------------
 
@@ -249,6 +252,22 @@ def geo_fixed_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return geo.range_join(_hops(spark, folder, "from_ip").select("id", "from_ip"), "from_ip", ranges, ["network"]).select("id", "network")
 
 
+_TEXT_RANGES = [("10.0.0.0", "10.255.255.255", "ten"), ("198.51.100.0", "198.51.100.255", "doc one"), ("2001:db8::", "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff", "doc six"), ("2001:db8::", "2001:db8::7fff:ffff", "doc six low"), ("2000::", "3fff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "unicast")]
+_V6_TAIL = "split_part(from_ip, '2001:db8::', 2)"
+
+
+@_query(
+    f"""WITH i AS (SELECT id, from_ip, CASE WHEN {_V4_OK.replace('(x,', '(from_ip,')} THEN {_NUMBER.format(ip='from_ip')} END AS n FROM {_UNIQUE})
+SELECT id, CASE WHEN n BETWEEN 167772160 AND 184549375 THEN 'ten' WHEN n BETWEEN 3325256704 AND 3325256959 THEN 'doc one'
+ WHEN from_ip LIKE '2001:db8::%' AND (NOT contains({_V6_TAIL}, ':') OR length(split_part({_V6_TAIL}, ':', 1)) < 4 OR split_part({_V6_TAIL}, ':', 1) < '8') THEN 'doc six low'
+ WHEN from_ip LIKE '2001:db8:%' THEN 'doc six' END AS network FROM i"""
+)
+def geo_text_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """IPv4 and IPv6 addresses with ranges given as text."""
+    ranges = spark.createDataFrame(_TEXT_RANGES, "low string, high string, network string")
+    return geo.range_join(_hops(spark, folder, "from_ip").select("id", "from_ip"), "from_ip", ranges, ["network"]).select("id", "network")
+
+
 # --- anomalies ---------------------------------------------------------------------------------------------------
 
 def _rule(found: DataFrame) -> DataFrame:
@@ -390,9 +409,9 @@ def domain_lookalike(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def domain_lookalike_stored(spark: SparkSession, folder: str) -> DataFrame:
     """Sender domains of stored analyses against the mail hosts' own domains, punycode resolved (L2, L4)."""
-    own = [r[0] for r in table(spark, folder, "mail_hosts").select(organisation_domain(F.col("host"))).distinct().collect()]
+    own = table(spark, folder, "mail_hosts").select(organisation_domain(F.col("host")).alias("brand"))
     domains = _signals(spark, folder).select(F.col("s.sender_domain_lookalike.domain").alias("domain"))
-    return lookalike.matches(domains, "domain", sorted(own)).select("domain", "is_punycode", "decoded_unicode", "brand", "method")
+    return lookalike.matches(domains, "domain", own).select("domain", "is_punycode", "decoded_unicode", "brand", "method")
 
 
 @_query("SELECT id, CASE WHEN contains(from_address, '@') THEN nullif(lower(regexp_extract(from_address, '([^@]*)$', 1)), '') END AS domain FROM analyses")
@@ -406,7 +425,7 @@ def sender_domain(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query(
     """WITH f AS (SELECT doc_id, regexp_extract_all(text, 'https?://[^\\s<>"'']+') AS u FROM documents WHERE contains(text, '://')),
-e AS (SELECT doc_id, u[i.i] AS raw_url, min(i.i) AS first FROM f, generate_series(1, 2000) i(i) WHERE i.i <= len(u) GROUP BY ALL)
+p AS (SELECT doc_id, unnest(u) AS raw_url, generate_subscripts(u, 1) AS i FROM f), e AS (SELECT doc_id, raw_url, min(i) AS first FROM p GROUP BY ALL)
 SELECT doc_id, raw_url, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INTEGER) AS ordinal FROM e"""
 )
 def url_extract(spark: SparkSession, folder: str) -> DataFrame:
@@ -504,17 +523,21 @@ def _factors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 _FACTORS_SQL = f"""
 WITH s AS (SELECT id AS msg_id, {_rec('ai_signals_json')} AS j FROM analyses),
-m AS (SELECT msg_id, coalesce(CAST(json_extract_string(j, '$.sender_domain_lookalike.is_punycode') AS BOOLEAN), false) AS puny, i.i AS i, json_extract_string(j, '$.sender_domain_lookalike.matches[' || CAST(i.i AS VARCHAR) || '].method') AS method
- FROM s, generate_series(0, 63) i(i) WHERE i.i < coalesce(json_array_length(j, '$.sender_domain_lookalike.matches'), 0)),
+l AS (SELECT * FROM ({_URLS_SQL})),
+o AS (SELECT msg_id, json_extract(j, '$.sender_domain_lookalike') AS k, true AS sender, 0 AS n FROM s UNION ALL SELECT msg_id, lookalike, false, ordinal FROM l),
+m AS (SELECT msg_id, sender, n, coalesce(CAST(json_extract_string(k, '$.is_punycode') AS BOOLEAN), false) AS puny, json_extract_string(k, '$.matches[' || CAST(i AS VARCHAR) || '].method') AS method
+ FROM (SELECT *, unnest(range(CAST(coalesce(json_array_length(k, '$.matches'), 0) AS BIGINT))) AS i FROM o)),
 f AS (
  SELECT id AS msg_id, {_case('spf_result', 'spf')} AS weight, 'authentication' AS category FROM analyses
  UNION ALL SELECT id, {_case('dkim_result', 'dkim')}, 'authentication' FROM analyses
  UNION ALL SELECT id, {_case("coalesce(dmarc_policy, 'unknown')", 'dmarc_fail', 5)}, 'authentication' FROM analyses WHERE dmarc_result = 'fail'
  UNION ALL SELECT analysis_id, {_case('severity', 'severity')}, 'relay_chain' FROM anomalies
  UNION ALL SELECT msg_id, 25, 'phishing_classifier' FROM s WHERE json_extract_string(j, '$.phishing.source') = 'onnx-model' AND CAST(json_extract_string(j, '$.phishing.phishing_probability') AS DOUBLE) >= 0.7
- UNION ALL SELECT msg_id, {_case('method', 'sender_lookalike')}, 'lookalike_domain' FROM m
- UNION ALL SELECT DISTINCT msg_id, 10, 'lookalike_domain' FROM m WHERE puny
- UNION ALL SELECT msg_id, 12, 'url_analysis' FROM ({_URLS_SQL}) WHERE is_ip_literal
+ UNION ALL SELECT msg_id, CASE WHEN sender THEN {_case('method', 'sender_lookalike')} ELSE {_case('method', 'url_lookalike')} END, 'lookalike_domain' FROM m
+ UNION ALL SELECT msg_id, 10, 'lookalike_domain' FROM (SELECT DISTINCT msg_id, sender, n FROM m WHERE puny)
+ UNION ALL SELECT msg_id, 12, 'url_analysis' FROM l WHERE is_ip_literal
+ UNION ALL SELECT msg_id, 10, 'url_analysis' FROM l WHERE mismatch
+ UNION ALL SELECT msg_id, 15, 'url_analysis' FROM l WHERE is_new
  UNION ALL SELECT msg_id, 5, 'ai_text' FROM s WHERE json_extract_string(j, '$.ai_text.source') = 'onnx-model' AND json_extract_string(j, '$.ai_text.low_perplexity_flag') = 'true')
 """
 
@@ -586,11 +609,12 @@ def _iocs(spark: SparkSession, folder: str) -> DataFrame:
 
 _URL_HOST = "nullif(lower(regexp_extract(raw_url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1)), '')"
 _IOC_SQL = f"""
-WITH u AS {_UNIQUE}, l AS ({_URLS_SQL}), i AS (
+WITH u AS {_UNIQUE}, l AS ({_URLS_SQL}), r(id, prefix, j) AS (SELECT id, '', {whole_record('meta_json')} FROM analyses), a AS (SELECT * FROM {elements('r', 'attachments')} WHERE json_type(e) = 'OBJECT'), i AS (
  SELECT id AS msg_id, 'email' AS type, from_address AS value, 0 AS part, 0 AS o, 'sender (From) address' AS context FROM analyses
  UNION ALL SELECT msg_id, CASE WHEN contains(from_ip, ':') THEN 'ipv6' ELSE 'ipv4' END, from_ip, 1, sequence * 3, 'relay hop #' || CAST(sequence AS VARCHAR) || ' source IP (claimed host: ' || coalesce(from_host, 'unknown') || ')' FROM u
  UNION ALL SELECT msg_id, 'domain', from_host, 1, sequence * 3 + 1, 'relay hop #' || CAST(sequence AS VARCHAR) || ' source hostname' FROM u
  UNION ALL SELECT msg_id, 'domain', by_host, 1, sequence * 3 + 2, 'relay hop #' || CAST(sequence AS VARCHAR) || ' receiving hostname' FROM u
+ UNION ALL SELECT id, 'sha256', json_extract_string(e, '$.sha256'), 2, i, 'attachment ''' || coalesce(json_extract_string(e, '$.filename'), '') || ''' (' || coalesce(json_extract_string(e, '$.size_bytes'), '0') || ' bytes, ' || coalesce(json_extract_string(e, '$.content_type'), 'unknown type') || ')' FROM a
  UNION ALL SELECT msg_id, 'url', raw_url, 3, ordinal * 3, 'link found in message body' FROM l
  UNION ALL SELECT msg_id, CASE WHEN is_ip_literal THEN 'ipv4' ELSE 'domain' END, {_URL_HOST}, 3, ordinal * 3 + 1, CASE WHEN is_ip_literal THEN 'IP-literal link host (' || raw_url || ')' ELSE 'host of link ' || raw_url END FROM l),
 d AS (SELECT *, row_number() OVER (PARTITION BY msg_id, type, value ORDER BY part, o, context) AS n FROM i WHERE value <> '')
@@ -713,7 +737,7 @@ def map_projection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _raw_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "analyses").select(F.col("id").alias("msg_id"), F.coalesce(F.try_validate_utf8(F.col("raw_bytes").cast("string")), F.lit("")).alias("raw"))
+    return table(spark, folder, "analyses").select(F.col("id").alias("msg_id"), F.coalesce(F.try_validate_utf8(F.col("raw_bytes").cast("string")), F.decode("raw_bytes", "ISO-8859-1"), F.lit("")).alias("raw"))
 
 
 @_query()

@@ -101,7 +101,7 @@ def _held(v: str) -> str:
     return f"(CASE WHEN json_type({v}) = 'VARCHAR' AND left(ltrim({text}), 1) IN ('{{', '[', '\"') THEN CASE WHEN json_valid({text}) THEN CAST({text} AS JSON) END ELSE {v} END)"
 
 
-def _elements(source: str, key: str) -> str:
+def elements(source: str, key: str) -> str:
     """SQL for the elements below a key, with their positions; null elements are left out."""
     size = "CAST(CASE WHEN json_type(n) = 'ARRAY' THEN json_array_length(n) WHEN n IS NULL THEN 0 ELSE 1 END AS BIGINT)"
     held = f"SELECT id, prefix, {_held(f"json_extract(j, '$.{key}')")} AS n FROM {source}"
@@ -109,27 +109,32 @@ def _elements(source: str, key: str) -> str:
     return f"(SELECT id, prefix, i, {_held('e')} AS e FROM ({each}) WHERE e IS NOT NULL AND json_type(e) <> 'NULL')"
 
 
-def _whole(column: str) -> str:
+def whole_record(column: str) -> str:
+    """SQL for a stored record."""
     return f"(CASE WHEN json_valid({column}) THEN {_held(f'CAST({column} AS JSON)')} END)"
 
 
 def _p1_sql() -> str:
     inner = "json_extract(e, '$.embedded')"
-    said = [f"SELECT id, prefix || '{key}/' || i AS path, json_extract_string(e, '$.{field}') AS item FROM {_elements('m', key)}" for key, field in (("attachments", "sha256"), ("issues", "field"))]
-    said += [f"SELECT id, prefix || 'to_addresses/' || i, json_extract_string(e, '$') FROM {_elements('m', 'to_addresses')}", "SELECT id, rtrim(prefix, '/'), json_extract_string(j, '$.sha256') FROM m WHERE prefix <> '' AND json_type(j) = 'OBJECT'"]
-    said += [f"SELECT id, '{key}/' || i, json_extract_string(e, '$.result') FROM {_elements('a', key)}" for key in AUTH_CHILDREN]
+    said = [f"SELECT id, prefix || '{key}/' || i AS path, json_extract_string(e, '$.{field}') AS item FROM {elements('m', key)}" for key, field in (("attachments", "sha256"), ("issues", "field"))]
+    said += [f"SELECT id, prefix || 'to_addresses/' || i, json_extract_string(e, '$') FROM {elements('m', 'to_addresses')}", "SELECT id, rtrim(prefix, '/'), json_extract_string(j, '$.sha256') FROM m WHERE prefix <> '' AND json_type(j) = 'OBJECT'"]
+    said += [f"SELECT id, '{key}/' || i, json_extract_string(e, '$.result') FROM {elements('a', key)}" for key in AUTH_CHILDREN]
     return f"""
 WITH RECURSIVE m(id, prefix, j) AS (
- SELECT id, '', {_whole('meta_json')} FROM analyses
- UNION ALL SELECT id, prefix || 'attachments/' || i || '/embedded/', {_held(inner)} FROM {_elements('m', 'attachments')} WHERE json_type({inner}) <> 'NULL'),
-a(id, prefix, j) AS (SELECT id, '', {_whole('authentication_json')} FROM analyses)
+ SELECT id, '', {whole_record('meta_json')} FROM analyses
+ UNION ALL SELECT id, prefix || 'attachments/' || i || '/embedded/', {_held(inner)} FROM {elements('m', 'attachments')} WHERE json_type({inner}) <> 'NULL'),
+a(id, prefix, j) AS (SELECT id, '', {whole_record('authentication_json')} FROM analyses)
 {" UNION ALL ".join(said)}"""
 
 
-ORACLE_SQL = {
-    "p1_found": _p1_sql(),
-    "p3_found": """
+_P3_SQL = """
 WITH k AS (SELECT id, created_at, lower(sha256) AS sha, CASE WHEN json_valid(meta_json) THEN regexp_replace(json_extract_string(CASE WHEN json_type(meta_json) = 'VARCHAR' THEN json_extract_string(meta_json, '$') ELSE meta_json END, '$.message_id'), '^[\\s<>]+|[\\s<>]+$', '', 'g') END AS mid FROM analyses),
 g AS (SELECT id, created_at, CASE WHEN coalesce(mid, '') = '' THEN 's:' || sha WHEN contains(mid, '@') THEN 'm:' || regexp_replace(mid, '[^@]*$', '') || lower(regexp_extract(mid, '([^@]*)$', 1)) ELSE 'm:' || mid END AS key FROM k)
-SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY key ORDER BY created_at, id) AS n FROM g) WHERE n > 1""",
+SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY key ORDER BY created_at, id) AS n FROM g)"""
+
+
+ORACLE_SQL = {
+    "p1_found": _p1_sql(),
+    "p3_found": _P3_SQL + " WHERE n > 1",
+    "p3_kept": _P3_SQL + " WHERE n = 1",
 }

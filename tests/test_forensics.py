@@ -1,10 +1,14 @@
 import datetime as dt
+import ipaddress
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from relayscope.functions.net import is_bogon, is_ip, organisation_domain
 from relayscope.operators import anomalies, attribution, auth, geo, iocs, lookalike, relay, scoring, urls
+from relayscope.plans import forensics
 
 
 def one(spark, value, column):
@@ -205,3 +209,61 @@ def test_enrichment_leaves_bogons_alone(spark):
     nets = spark.createDataFrame([(0, 2**32 - 1, 7, "Net")], "low long, high long, asn int, asn_org string")
     got = {r["from_ip"]: (r["asn"], r["enrichment_source"]) for r in geo.enrich(hops, None, nets).collect()}
     assert got == {"1.1.1.1": (7, "geolite2-local"), "10.0.0.1": (None, "unavailable"), None: (None, "unavailable")}
+
+
+def test_expiry_of_any_length(spark):
+    rows = [("a", "v=1; x=17000000000000"), ("b", "v=1; x=" + "9" * 60), ("c", "v=1; x=00000000000000000001"), ("d", "v=1; x=-5"), ("e", "v=1; x=")]
+    df = spark.createDataFrame(rows, "id string, s string").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    got = {r["id"]: (r["dkim_signature_expired"], r["e"]) for r in auth.dkim_expiry(df, "s", "at").withColumn("e", F.unix_seconds("dkim_expiry")).collect()}
+    assert got == {"a": (False, 253402300799), "b": (False, 253402300799), "c": (True, 1), "d": (False, None), "e": (False, None)}
+
+
+def test_links_of_stored_signals_are_scored_with_their_lookalikes(spark):
+    link = {"raw_url": "https://paypai.com/x", "host": "paypai.com", "anchor_claimed_domain": "paypal.com", "anchor_text_mismatch": True, "is_newly_registered": True, "domain_intel": {"age_days": 3}, "lookalike": {"domain": "paypai.com", "is_punycode": True, "matches": [{"matched_brand": "paypal.com", "method": "levenshtein", "detail": "d"}, {"matched_brand": "x.com", "method": "brand_substring", "detail": "e"}]}}
+    signals = {"urls": {"urls": [{"raw_url": "http://1.1.1.1/", "is_ip_literal": True}, link]}}
+    df = spark.createDataFrame([("m", json.dumps(signals)), ("n", None), ("o", "{}")], "msg_id string, j string").select("msg_id", F.from_json("j", forensics._SIGNALS).alias("s"))
+    got = scoring.ranked(scoring.signal_factors(df)).orderBy("part", "ordinal").collect()
+    assert [(r["msg_id"], r["part"], r["name"], r["weight"], r["evidence"]) for r in got] == [
+        ("m", 6, "Link uses a bare IP address instead of a domain", 12, "http://1.1.1.1/"),
+        ("m", 6, "Link text claims a different domain than its destination", 10, "anchor text claims 'paypal.com', actual destination is 'paypai.com' (https://paypai.com/x)"),
+        ("m", 6, "Link points to a newly registered domain", 15, "paypai.com registered 3 days ago"),
+        ("m", 7, "Link to paypai.com looks like paypal.com", 12, "d"),
+        ("m", 7, "Link to paypai.com looks like x.com", 12, "e"),
+        ("m", 7, "Link to paypai.com uses punycode/IDN encoding", 10, "paypai.com"),
+    ]
+
+
+def test_brands_from_a_file_and_a_table(spark, tmp_path):
+    (tmp_path / "brands.yaml").write_text("# trusted\n- PayPal.com\n- 'docusign.com'  # signing\n\nzoom.us\n")
+    brands = lookalike.read_brands(spark, str(tmp_path / "brands.yaml"))
+    assert lookalike.brand_list(brands) == ["docusign.com", "paypal.com", "zoom.us"]
+    domains = spark.createDataFrame([("paypai.com",), (None,), ("zoom.us",)], "domain string")
+    assert [(r["domain"], r["brand"]) for r in lookalike.matches(domains, "domain", brands).collect()] == [("paypai.com", "paypal.com")]
+    with pytest.raises(ValueError):
+        lookalike.brand_list(spark.range(10_001).selectExpr("concat(id, '.t') AS b"))
+
+
+def test_ranges_of_ipv6(spark):
+    rng = random.Random(4)
+    ranges = [("2001:db8::", "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff", "doc"), ("2001:db8:1::", "2001:db8:1:ffff:ffff:ffff:ffff:ffff", "one"), ("2001:db8:1::5", "2001:db8:1::5", "host"), ("2000::", "3fff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "all"), ("1.2.0.0", "1.2.255.255", "four"), ("::", "1.2.3.4", "no"), ("x", "y", "no"), (None, None, "no")]
+    ranges += [(str(ipaddress.IPv6Address(a)), str(ipaddress.IPv6Address(a + (1 << k) - 1)), f"r{i}") for i in range(60) for k in [rng.randrange(20, 110)] for a in [((0x2600 << 112) | rng.getrandbits(108)) >> k << k]]
+    ips = ["2001:db8::1", "2001:DB8:1::5", "2001:db8:1::6", "2a00::1", "fe80::1%eth0", "1.2.3.4", "9.9.9.9", None, "", "::ffff:1.2.3.4", "zz::"] + [str(ipaddress.IPv6Address((0x2600 << 112) | rng.getrandbits(108))) for _ in range(200)] + [r[0] for r in ranges[8:]]
+
+    def brute(ip):
+        try:
+            at = ipaddress.ip_address((ip or "").split("%")[0])
+        except ValueError:
+            return None
+        inside = []
+        for low, high, name in ranges:
+            try:
+                low, high = ipaddress.ip_address(low or ""), ipaddress.ip_address(high or "")
+            except ValueError:
+                continue
+            if low.version == high.version == at.version and low <= at <= high:
+                inside.append((int(high) - int(low), int(low), name))
+        return min(inside)[2] if inside else None
+
+    df = spark.createDataFrame([(i, ip, "clash") for i, ip in enumerate(ips)], "i int, ip string, name string")
+    got = {r["i"]: r["name"] for r in geo.range_join(df, "ip", spark.createDataFrame(ranges, "low string, high string, name string"), ["name"]).collect()}
+    assert got == {i: brute(ip) for i, ip in enumerate(ips)}
