@@ -225,13 +225,19 @@ def hop_bogon(spark: SparkSession, folder: str) -> DataFrame:
 def _ranges(spark: SparkSession, folder: str) -> DataFrame:
     """Overlapping invented ranges: one narrow range for each mail host, and three broad ones."""
     hosts = table(spark, folder, "mail_hosts").where("asn_org is not null").select("host", "asn_org")
-    i = F.crc32("host") % 16384
+    i = F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("bigint") % 16384
     narrow = hosts.select((F.lit(167772160) + i * 1024).alias("low"), (F.lit(167772160) + i * 1024 + 1023).alias("high"), F.concat("asn_org", F.lit(" "), "host").alias("network"))
     broad = spark.createDataFrame([(167772160, 184549375, "ten"), (3325256704, 3325256959, "doc one"), (3405803776, 3405804031, "doc two")], "low long, high long, network string")
     return narrow.unionAll(broad)
 
 
-@_query()
+@_query(
+    f"""WITH h AS (SELECT asn_org || ' ' || host AS network, 167772160 + CAST('0x' || substr(md5(host), 1, 4) AS BIGINT) % 16384 * 1024 AS low FROM mail_hosts WHERE asn_org IS NOT NULL),
+r AS (SELECT low, low + 1023 AS high, network FROM h UNION ALL VALUES (167772160, 184549375, 'ten'), (3325256704, 3325256959, 'doc one'), (3405803776, 3405804031, 'doc two')),
+i AS (SELECT id, CASE WHEN {_V4_OK.replace('(x,', '(from_ip,')} THEN {_NUMBER.format(ip='from_ip')} END AS n FROM {_UNIQUE}),
+j AS (SELECT n, first(network ORDER BY high - low, low, network) AS network FROM (SELECT DISTINCT n FROM i) JOIN r ON n BETWEEN low AND high GROUP BY n)
+SELECT id, network FROM i LEFT JOIN j USING (n)"""
+)
 def geo_range_join(spark: SparkSession, folder: str) -> DataFrame:
     """Hops with the network whose range holds their address."""
     hops = _hops(spark, folder, "from_ip").select("id", "from_ip")
@@ -874,13 +880,33 @@ def report_pdf(spark: SparkSession, folder: str) -> DataFrame:
     return exports.pdf_reports(reports.case_reports(wide)).select("msg_id", F.octet_length("pdf").alias("size"))
 
 
-@_query()
+def _uuid_sql(kind: str, text: str) -> str:
+    d = f"sha1({text})"
+    return f"'{kind}--' || substr({d}, 1, 8) || '-' || substr({d}, 9, 4) || '-5' || substr({d}, 14, 3) || '-8' || substr({d}, 18, 3) || '-' || substr({d}, 21, 12)"
+
+
+_STIX_VALUE = "replace(replace(value, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39))"
+_STIX_KINDS = {"ipv4": "ipv4-addr:value", "ipv6": "ipv6-addr:value", "domain": "domain-name:value", "url": "url:value", "sha256": "file:hashes.''SHA-256''", "email": "email-addr:value"}
+_STIX_PATTERN = "CASE type " + " ".join(f"WHEN '{k}' THEN '[{p} = ''' || {_STIX_VALUE} || ''']'" for k, p in _STIX_KINDS.items()) + " END"
+_STIX_TIME = "'2026-01-01T00:00:00.000Z'"
+
+
+@_query(
+    _IOC_SQL
+    + f"""SELECT msg_id, CAST(json_object('type', 'bundle', 'id', {_uuid_sql('bundle', "'bundle|' || msg_id")}, 'objects', list(json_object('type', 'indicator', 'spec_version', '2.1', 'id', {_uuid_sql('indicator', "'indicator|' || msg_id || '|' || type || '|' || value")},
+ 'created', {_STIX_TIME}, 'modified', {_STIX_TIME}, 'name', type || ': ' || value, 'description', '[CASE-' || upper(substr(msg_id, 1, 8)) || '] ' || context, 'indicator_types', ['malicious-activity'], 'pattern', {_STIX_PATTERN}, 'pattern_type', 'stix', 'valid_from', {_STIX_TIME}) ORDER BY part, o)) AS VARCHAR) AS bundle
+FROM d WHERE n = 1 GROUP BY msg_id"""
+)
 def stix_bundle(spark: SparkSession, folder: str) -> DataFrame:
     """Indicators as STIX 2.1 bundles."""
     return exports.stix_bundles(_iocs(spark, folder), iocs.case_id(F.col("msg_id")), F.timestamp_seconds(F.lit(1767225600)))
 
 
-@_query()
+def _csv_sql(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '[\",\\r\\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
+
+
+@_query(_IOC_SQL + f"SELECT msg_id, 'type,value,context' || chr(13) || chr(10) || string_agg({_csv_sql('type')} || ',' || {_csv_sql('value')} || ',' || {_csv_sql('context')}, chr(13) || chr(10) ORDER BY part, o) || chr(13) || chr(10) AS csv FROM d WHERE n = 1 GROUP BY msg_id")
 def ioc_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Indicators as CSV."""
     return exports.csv_texts(_iocs(spark, folder))
