@@ -18,18 +18,16 @@ def main(args: list[str] | None = None) -> int:
         print(f"no such file: {given.path}", file=sys.stderr)
         return 1
     from relayscope import pipeline
-    from relayscope.operators import exports
+    from relayscope.operators.reports import json_reports, text_reports
     from relayscope.session import build_session, materialize
     from relayscope.sources import messages
 
     spark = build_session()
     spark.sparkContext.setLogLevel("ERROR")
     found = messages.files(spark, given.path, "*")
-    reports = pipeline.generate(materialize(messages.parse(found, "filename"), "parsed"), as_of=F.current_timestamp())
-    if given.format == "json":
-        rows = exports.report_json(pipeline.analyses(reports), "msg_id", [c for c in pipeline.analyses(reports).columns])
-    else:
-        rows = exports.text_reports(reports.messages.join(reports.risk.drop("factors"), "msg_id"), reports.hops, reports.anomalies, reports.factors)
+    reports = pipeline.generate(materialize(messages.parse(found, "filename"), "parsed"), as_of=F.current_timestamp(), keep=True)
+    whole = pipeline.whole_reports(reports)
+    rows = (json_reports if given.format == "json" else text_reports)(whole)
     for row in rows.orderBy("msg_id").toLocalIterator():
         print(row["report"], end="\n\n")
     return 0

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from relayscope import pipeline
 from relayscope.operators import dataprep, exports, models, store
+from relayscope.plans import forensics, records
+from relayscope.session import materialize
 from relayscope.sources import messages
 from relayscope.streaming import ingest
 
@@ -150,13 +152,47 @@ def test_pasted(spark):
     assert messages.parse(messages.pasted(spark, ["From: a@b.test\n\n"])).first()["from_address"] == "a@b.test"
 
 
-def test_store_tables_are_replaced(spark, tmp_path):
-    for _ in range(2):
-        pipeline.save(pipeline.from_bytes(frame(spark, ("clean", CLEAN), ("forged", FORGED), ("none", None))), str(tmp_path))
-    rows = {r["msg_id"]: r for r in spark.read.parquet(str(tmp_path / "analyses.parquet")).collect()}
-    assert len(rows) == 3 and (rows["none"]["hop_count"], rows["none"]["anomaly_count"]) == (0, 0)
-    assert rows["forged"]["highest_anomaly_severity"] == "high" and rows["forged"]["hop_count"] == 2
-    assert spark.read.parquet(str(tmp_path / "hops.parquet")).count() == 4
+def stored(spark, folder, name):
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def made(spark, *mails):
+    return pipeline.generate(materialize(messages.parse(frame(spark, *mails)).coalesce(1), "parsed"), as_of=F.lit("2024-06-01").cast("timestamp"), keep=True)
+
+
+def test_store_keeps_what_it_has_and_replaces_what_comes_again(spark, tmp_path):
+    folder, then = str(tmp_path / "store"), F.lit("2024-06-01").cast("timestamp")
+    save = lambda *mails, **kw: pipeline.save(made(spark, *mails), folder, buckets=4, **kw)
+    save(("clean", CLEAN), ("forged", FORGED), raw=frame(spark, ("clean", CLEAN)).withColumnRenamed("filename", "msg_id"), created_at=then)
+    save(("none", None), ("mime", MIME))
+    rows = {r["id"]: r for r in stored(spark, folder, "analyses").collect()}
+    assert set(rows) == {"clean", "forged", "none", "mime"} and set(pipeline.ANALYSIS_COLUMNS) <= set(stored(spark, folder, "analyses").columns)
+    assert (rows["none"]["hop_count"], rows["none"]["anomaly_count"], rows["forged"]["highest_anomaly_severity"], rows["forged"]["hop_count"]) == (0, 0, "high", 2)
+    assert bytes(rows["clean"]["raw_bytes"]) == CLEAN and rows["forged"]["raw_bytes"] is None
+    assert stored(spark, folder, "hops").count() == 4 and stored(spark, folder, "anomalies").where("analysis_id = 'forged'").count() == rows["forged"]["anomaly_count"] > 3
+    # the forged one comes again as the clean one: its hops are replaced, its anomalies go, its time stays
+    save(("forged", CLEAN))
+    again = {r["id"]: r for r in stored(spark, folder, "analyses").collect()}
+    assert len(again) == 4 and again["forged"]["verdict"] == "clean" and again["forged"]["created_at"] == rows["forged"]["created_at"]
+    assert again["clean"] == rows["clean"]
+    assert stored(spark, folder, "anomalies").where("analysis_id = 'forged'").count() == 0
+    assert sorted(r["from_host"] for r in stored(spark, folder, "hops").where("analysis_id = 'forged'").collect()) == ["desk.good.test", "mail.good.test"]
+    assert [r["id"] for r in store.page(stored(spark, folder, "analyses"), ["id", "created_at"], limit=9, status="complete").collect()][-2:] == ["forged", "clean"]
+
+
+def test_stored_reports_are_read_as_they_were_made(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    new = made(spark, ("clean", CLEAN), ("forged", FORGED), ("mime", MIME))
+    pipeline.save(new, folder)
+    entry = forensics.QUERIES
+    assert {tuple(r) for r in entry["risk_score"](spark, folder).collect()} == {(r["msg_id"], r["score"], r["verdict"]) for r in new.risk.collect()}
+    shown = lambda df: sorted((r["msg_id"], r["name"], r["weight"]) for r in df.collect())
+    assert shown(forensics._factors(spark, folder)[1]) == shown(new.factors)
+    assert sorted(map(tuple, entry["ioc_extract"](spark, folder).collect())) == sorted((r["msg_id"], r["type"], r["value"], r["context"]) for r in new.iocs.collect())
+    assert {(r["msg_id"], r["origin_ip"]) for r in entry["origin_confidence"](spark, folder).collect()} == {(r["msg_id"], r["origin_ip"]) for r in new.attribution.collect()}
+    assert {(r["id"], r["path"]) for r in records.p1_found(spark, folder).collect()} >= {("mime", "attachments/1"), ("clean", "to_addresses/1"), ("forged", "spf/0")}
+    report = json.loads(entry["report_json"](spark, folder).where("msg_id = 'forged'").first()["report"])
+    assert report["risk"]["verdict"] == "malicious" and report["meta"]["message_id"] == "<2@bad.test>" and len(report["hops"]) == 2
 
 
 def test_parts_as_csv(spark, tmp_path):
@@ -173,4 +209,4 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.eml").write_bytes(FORGED)
     assert main([str(tmp_path / "a.eml")]) == 0 and "MALICIOUS" in capsys.readouterr().out
     assert main([str(tmp_path), "--format", "json"]) == 0
-    assert json.loads(capsys.readouterr().out.strip())["verdict"] == "malicious"
+    assert json.loads(capsys.readouterr().out.strip())["risk"]["verdict"] == "malicious"
