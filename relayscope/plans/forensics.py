@@ -350,12 +350,34 @@ def anomaly_dkim_expired(spark: SparkSession, folder: str) -> DataFrame:
     return _rule(rules.dkim_expired(table(spark, folder, "analyses").select(F.col("id").alias("msg_id"), "dkim_signature_expired")))
 
 
-@_query()
+_ISO = "strftime({t} AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+_DELTA = "((epoch_us(timestamp) - epoch_us(pt)) / 1000000.0)"
+_PLAIN_HOST = "lower(regexp_replace({h}, '\\.+$', ''))"
+
+
+@_query(
+    f"""WITH u AS {_UNIQUE},
+c AS (SELECT *, lag(sequence) OVER w AS ps, lag(timestamp) OVER w AS pt, lag(by_host) OVER w AS pb, count(*) OVER (PARTITION BY msg_id) AS n, {_PLAIN_HOST.format(h='by_host')} AS host FROM u WINDOW w AS (PARTITION BY msg_id ORDER BY sequence)),
+g AS (SELECT msg_id, host, list(sequence ORDER BY sequence) AS places FROM c WHERE host <> '' GROUP BY ALL HAVING count(*) > 1),
+a AS (
+ SELECT msg_id, 1 AS rule, 'impossible_timestamp' AS type, 'medium' AS severity, [sequence] AS hs, 'Hop ' || sequence || ' timestamp predates the internet email era' AS summary, 'Received timestamp parses to ' || {_ISO.format(t='timestamp')} AS evidence FROM c WHERE timestamp < TIMESTAMPTZ '1990-01-01 00:00:00+00'
+ UNION ALL SELECT msg_id, 2, 'negative_time_delta', 'high', [ps, sequence], 'Hop ' || sequence || ' is timestamped before hop ' || ps || ', which received it earlier in the chain',
+  'hop ' || ps || ' at ' || {_ISO.format(t='pt')} || ' -> hop ' || sequence || ' at ' || {_ISO.format(t='timestamp')} || ', delta ' || CAST(round_even({_DELTA}, 0) AS BIGINT) || 's' FROM c WHERE timestamp < pt
+ UNION ALL SELECT msg_id, 2, 'large_timezone_jump', 'low', [ps, sequence], 'Large ' || printf('%.1f', round_even({_DELTA} / 3600, 1)) || 'h gap between hop ' || ps || ' and ' || sequence, 'hop ' || ps || ' at ' || {_ISO.format(t='pt')} || ' -> hop ' || sequence || ' at ' || {_ISO.format(t='timestamp')} FROM c WHERE {_DELTA} > 21600
+ UNION ALL SELECT msg_id, 3, 'bogon_ip_in_path', 'high', [sequence], 'Hop ' || sequence || ' claims a private/non-routable sending address', 'hop ' || sequence || ' from ' || coalesce('''' || from_host || '''', 'None') || ' reports source IP ' || from_ip || ' (by ' || coalesce('''' || by_host || '''', 'None') || ')'
+  FROM c WHERE from_ip IS NOT NULL AND {_bogon_sql('from_ip')} AND NOT coalesce({_ORG.format(h='from_host')} = {_ORG.format(h='by_host')}, false)
+ UNION ALL SELECT msg_id, 4, 'hop_count_outlier', 'low', range(any_value(n)), 'Unusually long relay chain: ' || any_value(n) || ' hops', any_value(n) || ' Received headers exceeds the 8-hop baseline' FROM c WHERE n > 8 GROUP BY msg_id
+ UNION ALL SELECT msg_id, 5, 'forged_internal_origin', 'medium', places, 'Same recipient host ''' || host || ''' claimed by ' || len(places) || ' separate hops', 'hops [' || list_aggregate(list_transform(places, lambda x: CAST(x AS VARCHAR)), 'string_agg', ', ') || '] all name ''' || host || ''' as the receiving server' FROM g
+ UNION ALL SELECT msg_id, 6, 'forged_internal_origin', 'medium', [ps, sequence], 'Relay chain break between hop ' || ps || ' and hop ' || sequence, 'hop ' || ps || ' was received ''by ' || pb || ''', but hop ' || sequence || ' claims to be ''from ' || from_host || ''''
+  FROM c WHERE pb <> '' AND from_host <> '' AND {_PLAIN_HOST.format(h='pb')} <> {_PLAIN_HOST.format(h='from_host')}
+ UNION ALL SELECT id, 7, 'dkim_signature_expired', 'medium', [], 'DKIM signature is expired', 'signature expiration tag is in the past relative to the message Date' FROM analyses WHERE dkim_signature_expired)
+SELECT msg_id, CAST(row_number() OVER (PARTITION BY msg_id ORDER BY rule, hs[1], type, summary) - 1 AS INTEGER) AS ordinal, type, severity, coalesce(list_aggregate(list_transform(hs, lambda x: CAST(x AS VARCHAR)), 'string_agg', ','), '') AS sequences, summary, evidence FROM a"""
+)
 def anomaly_all(spark: SparkSession, folder: str) -> DataFrame:
     """Every rule over every chain, with summaries and evidence."""
     hops = _hops(spark, folder, "timestamp", "from_ip", "from_host", "by_host")
     messages = table(spark, folder, "analyses").select(F.col("id").alias("msg_id"), "dkim_signature_expired")
-    return rules.detect(hops, messages)
+    return rules.detect(hops, messages).select("msg_id", "ordinal", "type", "severity", F.array_join(F.col("hop_sequences").cast("array<string>"), ",").alias("sequences"), "summary", "evidence")
 
 
 @_query("SELECT analysis_id AS msg_id, arg_max(severity, CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END) AS highest_severity FROM anomalies GROUP BY 1")
@@ -600,7 +622,18 @@ def origin_confidence(spark: SparkSession, folder: str) -> DataFrame:
     return _attribution(spark, folder).select("msg_id", "source", "origin_ip", "confidence")
 
 
-@_query()
+@_query(
+    f"""WITH c AS (SELECT msg_id, arg_min({{'ip': from_ip, 'sequence': sequence, 'host': from_host, 'es': enrichment_source, 'asn': asn, 'org': asn_org, 'country': country}}, sequence) AS c FROM {_UNIQUE} WHERE from_ip <> '' AND NOT is_bogon GROUP BY msg_id),
+g AS (SELECT a.analysis_id AS msg_id, count(*) AS n, string_agg(DISTINCT a.type, ', ' ORDER BY a.type) AS kinds FROM anomalies a JOIN c ON c.msg_id = a.analysis_id WHERE a.type IN ('forged_internal_origin', 'negative_time_delta') AND list_min(a.hop_sequences) <= c.c.sequence GROUP BY 1)
+SELECT id AS msg_id, CASE WHEN c.msg_id IS NULL THEN 'unavailable' ELSE 'heuristic' END AS source, c.c.ip AS origin_ip, c.c.sequence AS origin_hop_sequence, c.c.asn AS asn, c.c.org AS asn_org, c.c.country AS country,
+ CASE WHEN c.msg_id IS NULL THEN 'unknown' WHEN g.n > 0 THEN 'low' WHEN c.c.es = 'geolite2-local' THEN 'high' ELSE 'medium' END AS confidence,
+ CASE WHEN c.msg_id IS NULL THEN 'no hop in the reconstructed relay chain reports a public, non-bogon source IP' ELSE concat_ws(' ',
+  'earliest hop reporting a public source IP is hop #' || c.c.sequence || ' (' || c.c.ip || ', claimed sending host ' || coalesce(c.c.host, 'unknown') || ').',
+  CASE WHEN c.c.es = 'geolite2-local' THEN 'GeoIP enrichment attributes this address to ' || coalesce(c.c.org, 'an unnamed organization') || ' (AS' || coalesce(CAST(c.c.asn AS VARCHAR), '?') || '), ' || coalesce(c.c.country, 'unknown country') || '.' ELSE 'no GeoIP enrichment is available for this address.' END,
+  CASE WHEN g.n > 0 THEN 'confidence is capped at ''low'': ' || g.n || CASE WHEN g.n = 1 THEN ' relay-chain anomaly (' ELSE ' relay-chain anomalies (' END || g.kinds || CASE WHEN g.n = 1 THEN ') affects' ELSE ') affect' END || ' this hop or an earlier one.' END,
+  CASE spf_result WHEN 'fail' THEN 'SPF failed for the claimed sending domain.' WHEN 'pass' THEN 'SPF passed, corroborating that this hop''s IP is an authorized sender for the claimed domain.' END) END AS reasoning
+FROM analyses LEFT JOIN c ON c.msg_id = id LEFT JOIN g ON g.msg_id = id"""
+)
 def origin_reasoning(spark: SparkSession, folder: str) -> DataFrame:
     """The same with its reasons."""
     return _attribution(spark, folder)
@@ -746,7 +779,19 @@ def _raw_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "analyses").select(F.col("id").alias("msg_id"), F.coalesce(F.try_validate_utf8(F.col("raw_bytes").cast("string")), F.decode("raw_bytes", "ISO-8859-1"), F.lit("")).alias("raw"))
 
 
-@_query()
+_FLAT = "lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
+
+
+@_query(
+    f"""WITH t AS (SELECT id, spf_result = 'fail' OR dkim_result = 'fail' OR dmarc_result = 'fail' AS failed, dkim_signature_expired AS expired, replace(regexp_extract(coalesce(decode(raw_bytes), ''), '(?s)^(.*?)(?:\\r?\\n\\r?\\n|$)', 1), chr(13) || chr(10), chr(10)) AS s FROM analyses),
+p AS (SELECT id, failed, expired, list_filter(string_split(regexp_replace(s, '\\n(\\S)', chr(1) || '\\1', 'g'), chr(1)), lambda b: trim(b) <> '') AS blocks FROM t),
+b AS (SELECT id, failed, expired, unnest(blocks) AS block, generate_subscripts(blocks, 1) - 1 AS position FROM p),
+h AS (SELECT msg_id, list(DISTINCT {_FLAT.format(c='raw_header')}) AS named FROM hops_once JOIN (SELECT DISTINCT analysis_id, unnest(hop_sequences) AS sequence FROM anomalies) a ON a.analysis_id = msg_id AND a.sequence = hops_once.sequence GROUP BY msg_id),
+r AS (SELECT b.id, position, block, CASE lower(split_part(block, ':', 1))
+  WHEN 'received' THEN CASE WHEN len(list_filter(named, lambda x: contains({_FLAT.format(c='block')}, x) OR contains(x, {_FLAT.format(c='block')}))) > 0 THEN 'Hop flagged by relay-chain analysis' END
+  WHEN 'authentication-results' THEN CASE WHEN failed THEN 'SPF, DKIM, or DMARC failed' END WHEN 'dkim-signature' THEN CASE WHEN expired THEN 'DKIM signature expired' END END AS reason FROM b LEFT JOIN h ON h.msg_id = b.id)
+SELECT id AS msg_id, CAST(position AS INTEGER) AS position, block, reason IS NOT NULL AS suspicious, reason FROM r""".replace("hops_once JOIN", f"{_UNIQUE} hops_once JOIN")
+)
 def header_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Headers of raw messages, folded lines together, with what is suspicious about them."""
     blocks = store.header_blocks(_raw_text(spark, folder), "raw")

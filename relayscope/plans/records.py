@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relayscope.functions.messages import delivery_key, record_field
-from relayscope.operators.nested import AUTH_CHILDREN, AUTH_PLACES, META_PLACES, children, shred
+from relayscope.operators.nested import AUTH_CHILDREN, AUTH_PLACES, META_CHILDREN, META_PLACES, children, shred
 from relayscope.operators.timestamps import normalise
 from relayscope.sources.tables import table
 from relayscope.streaming.dedupe import kept_ids, run_dedupe, surplus_ids
@@ -33,6 +33,16 @@ def p1_bridge(spark: SparkSession, folder: str) -> DataFrame:
     return _shredded(spark, folder).bridge
 
 
+def p1_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with what its root object says of it and how many occurrences it has below: id, source, subject, message_id, raw_header, lists."""
+    shredded = _shredded(spark, folder)
+    roots = shredded.bridge.where("path = ''").select("id", "source", "hash")
+    said = shredded.objects.select("hash", *[F.get_json_object("content", f"$.{c}").alias(c) for c in ("subject", "message_id", "raw_header")])
+    lists = shredded.bridge.where(F.col("path").isin(*META_CHILDREN)).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("lists"))
+    found = roots.join(said, "hash").join(lists, "id", "left")
+    return found.select("id", "source", "subject", "message_id", "raw_header", F.when(F.col("source") == "meta_json", F.coalesce("lists", F.lit(""))).alias("lists"))
+
+
 def _delivery_log(spark: SparkSession, folder: str) -> DataFrame:
     key = delivery_key(F.col("meta_json"), F.col("sha256"), F.col("id"))
     return run_dedupe(spark, f"{folder}/analyses.parquet", key, F.col("created_at"), F.col("id"))
@@ -92,7 +102,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("field", "id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_objects, p1_bridge, p3_found, p3_kept, p4_found, p4_instants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_objects, p1_bridge, p1_records, p3_found, p3_kept, p4_found, p4_instants)}
 
 
 def _held(v: str) -> str:
@@ -133,8 +143,18 @@ g AS (SELECT id, created_at, CASE WHEN coalesce(mid, '') = '' THEN 's:' || sha W
 SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY key ORDER BY created_at, id) AS n FROM g)"""
 
 
+def _p1_records_sql() -> str:
+    # a key's list is an occurrence of its own if it is stored as an array
+    lists = " || ".join(f"CASE WHEN json_type({_held(f"json_extract(j, '$.{key}')")}) = 'ARRAY' THEN '{key},' ELSE '' END" for key in sorted(META_CHILDREN))
+    fields = ", ".join(f"CASE WHEN json_type(j, '$.{c}') <> 'NULL' THEN json_extract_string(j, '$.{c}') END AS {c}" for c in ("subject", "message_id", "raw_header"))
+    return f"""
+WITH r AS (SELECT id, 'meta_json' AS source, {whole_record('meta_json')} AS j FROM analyses UNION ALL SELECT id, 'authentication_json', {whole_record('authentication_json')} FROM analyses)
+SELECT id, source, {fields}, CASE WHEN source = 'meta_json' THEN rtrim({lists}, ',') END AS lists FROM r WHERE json_type(j) = 'OBJECT'"""
+
+
 ORACLE_SQL = {
     "p1_found": _p1_sql(),
+    "p1_records": _p1_records_sql(),
     "p3_found": _P3_SQL + " WHERE n > 1",
     "p3_kept": _P3_SQL + " WHERE n = 1",
 }
