@@ -104,4 +104,4 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p5_found, p5_plain, p6_found, p6_restored, p7_ids, p7_decoded, p8_found, p8_matches, p8_kept, p9_found, p9_composition)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
