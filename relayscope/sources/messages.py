@@ -12,11 +12,12 @@ import io
 import mailbox
 import tarfile
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from email import message_from_bytes, policy
 from email.message import EmailMessage, Message
 from email.parser import BytesParser
 from email.utils import getaddresses, parsedate_to_datetime
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,7 @@ PARSED = (
     "issues array<struct<field:string,detail:string>>, received array<string>, authentication_results array<string>, dkim_signature string, body string, is_html boolean"
 )
 _STAMP = pa.timestamp("us", tz="UTC")
+T = TypeVar("T")
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*.eml") -> DataFrame:
@@ -58,141 +60,142 @@ def source_format(df: DataFrame) -> DataFrame:
     return df.withColumn("source_format", F.when(F.coalesce(F.lower("filename").endswith(".msg"), F.lit(False)) | F.coalesce(magic, F.lit(False)), "msg").otherwise("eml"))
 
 
-def _read_eml(raw: bytes, issues: list) -> Message:
-    try:
-        message = BytesParser(policy=policy.default).parsebytes(raw)
-    except Exception as e:  # noqa: BLE001
-        issues.append(("__root__", f"parser raised {e!r}, falling back"))
+# fixed values: what issues say, and what an issue takes off the confidence
+_SAID = {
+    "parser": "parser raised {!r}, falling back",
+    "fallback": "fallback parser raised {!r}",
+    "msg": ".msg parser raised {!r}",
+    "msg library": "extract_msg not installed",
+    "missing": "required header missing",
+    "date": "could not parse date: {!r}",
+    "attachment": "failed hashing: {!r}",
+    "parts": "failed walking MIME parts: {!r}",
+}
+_UNNAMED = "(unnamed attachment)"
+_PER_DEFECT, _PER_MISSING, _NO_ORIGIN = 0.05, 0.12, 0.3
+
+
+class _Reading:
+    """One message being read. Whatever a reader raises becomes an issue, or nothing where none is named, and its ``other`` value."""
+
+    def __init__(self) -> None:
+        self.issues: list[tuple[str, str]] = []
+
+    def tried(self, read: Callable[[], T], other: T, field: str | None = None, said: str = "") -> T:
         try:
-            message = BytesParser(policy=policy.compat32).parsebytes(raw)
-        except Exception as e2:  # noqa: BLE001
-            issues.append(("__root__", f"fallback parser raised {e2!r}"))
+            return read()
+        except Exception as e:  # noqa: BLE001 - a message is read as far as it can be
+            if field is not None:
+                self.issues.append((field, _SAID[said].format(e)))
+            return other
+
+    def eml(self, raw: bytes) -> Message:
+        by = lambda rules: lambda: BytesParser(policy=rules).parsebytes(raw)
+        found = self.tried(by(policy.default), None, "__root__", "parser")
+        if found is None:
+            found = self.tried(by(policy.compat32), None, "__root__", "fallback")
+        if found is None:
             return EmailMessage()
-    issues += [("__message__", str(d)) for d in getattr(message, "defects", [])]
-    return message
-
-
-def _read_msg(raw: bytes, issues: list) -> Message:
-    try:
-        import extract_msg
-    except ImportError:
-        issues.append(("__root__", "extract_msg not installed"))
-        return EmailMessage()
-    try:
-        held = extract_msg.openMsg(io.BytesIO(raw))
-        message = EmailMessage(policy=policy.default)
-        for name, value in (("From", held.sender), ("To", held.to), ("Subject", held.subject), ("Date", held.date), ("Message-ID", getattr(held, "messageId", ""))):
-            message[name] = value or ""
-        for line in str(getattr(held, "header", None) or "").splitlines():
-            for name in ("Received", "Authentication-Results"):
-                if line.lower().startswith(name.lower() + ":"):
-                    message[name] = line.split(":", 1)[1].strip()
-        message.set_content(held.body or "")
-        held.close()
-        return message
-    except Exception as e:  # noqa: BLE001
-        issues.append(("__root__", f".msg parser raised {e!r}"))
-        return EmailMessage()
-
-
-def _header(message: Message, name: str) -> str | None:
-    try:
-        value = message.get(name)
-        return None if value is None else str(value)
-    except Exception:  # noqa: BLE001
-        return None
-
-
-def _headers(message: Message, name: str) -> list[str]:
-    try:
-        return [str(v) for v in message.get_all(name, [])]
-    except Exception:  # noqa: BLE001
-        return []
-
-
-def _body(message: Message) -> tuple[str, bool]:
-    if not isinstance(message, EmailMessage):
-        return "", False
-    for kind in ("html", "plain"):
+        self.issues += [("__message__", str(d)) for d in getattr(found, "defects", [])]
+        return found
+
+    def msg(self, raw: bytes) -> Message:
         try:
-            part = message.get_body(preferencelist=(kind,))
-            if part is not None:
-                return str(part.get_content()), kind == "html"
-        except Exception:  # noqa: BLE001
+            import extract_msg
+        except ImportError:
+            self.issues.append(("__root__", _SAID["msg library"]))
+            return EmailMessage()
+
+        def rebuilt() -> Message:
+            held = extract_msg.openMsg(io.BytesIO(raw))
+            message = EmailMessage(policy=policy.default)
+            for name, value in (("From", held.sender), ("To", held.to), ("Subject", held.subject), ("Date", held.date), ("Message-ID", getattr(held, "messageId", ""))):
+                message[name] = value or ""
+            for line in str(getattr(held, "header", None) or "").splitlines():
+                name, colon, value = line.partition(":")
+                if colon and name.lower() in ("received", "authentication-results"):
+                    message[name.title()] = value.strip()
+            message.set_content(held.body or "")
+            held.close()
+            return message
+
+        return self.tried(rebuilt, EmailMessage(), "__root__", "msg")
+
+    def header(self, message: Message, name: str) -> str | None:
+        return self.tried(lambda: None if message.get(name) is None else str(message.get(name)), None)
+
+    def headers(self, message: Message, name: str) -> list[str]:
+        return self.tried(lambda: [str(v) for v in message.get_all(name, [])], [])
+
+    def attachments(self, message: Message) -> list[dict]:
+        found: list[dict] = []
+
+        def walk() -> None:
+            for part in message.walk() if message.is_multipart() else ():
+                name = part.get_filename()
+                if name or "attachment" in str(part.get("Content-Disposition", "")).lower():
+                    held, kind = self.tried(lambda: (part.get_payload(decode=True), part.get_content_type()), (b"", None), "attachments", "attachment")
+                    held = held if isinstance(held, bytes) else b""
+                    found.append({"filename": _utf8(name) or _UNNAMED, "content_type": kind, "size_bytes": len(held), "sha256": hashlib.sha256(held).hexdigest()})
+
+        self.tried(walk, None, "body", "parts")
+        return found
+
+    def body(self, message: Message) -> tuple[str, bool]:
+        """The HTML body if there is one, else the plain one."""
+
+        def read() -> tuple[str, bool]:
+            for kind in ("html", "plain") if isinstance(message, EmailMessage) else ():
+                if (part := message.get_body(preferencelist=(kind,))) is not None:
+                    return str(part.get_content()), kind == "html"
             return "", False
-    return "", False
+
+        return self.tried(read, ("", False))
 
 
 def _utf8(text: str | None) -> str | None:
     return None if text is None else text.encode("utf-8", "replace").decode("utf-8")
 
 
+#: Fields that are a header as it stands.
+_PLAIN_HEADERS = {"subject": "Subject", "date_raw": "Date", "message_id": "Message-ID", "return_path": "Return-Path", "dkim_signature": "DKIM-Signature"}
+
+
 def parse_message(filename: str | None, raw: bytes | None) -> dict:
     """All fields of one message; never raises."""
     raw = raw or b""
-    issues: list[tuple[str, str]] = []
+    reading = _Reading()
     is_msg = (filename or "").lower().endswith(".msg") or raw[:8].hex().upper() == OLE_MAGIC
-    message = _read_msg(raw, issues) if is_msg else _read_eml(raw, issues)
-    defects = sum(f == "__message__" for f, _ in issues)
-    missing = [h for h in REQUIRED_HEADERS if not _header(message, h)]
-    issues += [(h, "required header missing") for h in missing]
-    sender = _header(message, "From")
-    name = address = None
-    if sender:
-        try:
-            found = getaddresses([sender])
-            name, address = (found[0][0] or None, found[0][1] or None) if found else (None, None)
-        except Exception:  # noqa: BLE001
-            address = sender
-    try:
-        to = [a for _, a in getaddresses(_headers(message, "To")) if a]
-    except Exception:  # noqa: BLE001
-        to = []
-    date_raw, date_parsed = _header(message, "Date"), None
-    if date_raw:
-        try:
-            date_parsed = parsedate_to_datetime(date_raw)
-        except Exception as e:  # noqa: BLE001
-            issues.append(("Date", f"could not parse date: {e!r}"))
-    content_type, attachments = None, []
-    try:
-        content_type = message.get_content_type()
-        for part in message.walk() if message.is_multipart() else []:
-            part_name, place = part.get_filename(), str(part.get("Content-Disposition", ""))
-            if part_name or "attachment" in place.lower():
-                try:
-                    payload = part.get_payload(decode=True)
-                    payload = payload if isinstance(payload, bytes) else b""
-                    kind = part.get_content_type()
-                except Exception as e:  # noqa: BLE001
-                    issues.append(("attachments", f"failed hashing: {e!r}"))
-                    payload, kind = b"", None
-                attachments.append({"filename": _utf8(part_name) or "(unnamed attachment)", "content_type": kind, "size_bytes": len(payload), "sha256": hashlib.sha256(payload).hexdigest()})
-    except Exception as e:  # noqa: BLE001
-        issues.append(("body", f"failed walking MIME parts: {e!r}"))
-    received = _headers(message, "Received")
-    penalty = 0.05 * defects + 0.12 * len(missing) + (0.3 if not sender and not received else 0.0)
-    body, is_html = _body(message)
+    message = (reading.msg if is_msg else reading.eml)(raw)
+    defects = sum(f == "__message__" for f, _ in reading.issues)
+    missing = [h for h in REQUIRED_HEADERS if not reading.header(message, h)]
+    reading.issues += [(h, _SAID["missing"]) for h in missing]
+    sender, received = reading.header(message, "From"), reading.headers(message, "Received")
+    names = reading.tried(lambda: [(n or None, a or None) for n, a in getaddresses([sender])], [(None, sender)]) if sender else []
+    name, address = names[0] if names else (None, None)
+    fields = {f: _utf8(reading.header(message, h)) for f, h in _PLAIN_HEADERS.items()}
+    raw_date = reading.header(message, "Date")
+    date_parsed = reading.tried(lambda: parsedate_to_datetime(raw_date), None, "Date", "date") if raw_date else None
+    content_type = reading.tried(message.get_content_type, None, "body", "parts")
+    attachments = reading.attachments(message) if content_type is not None else []
+    body, is_html = reading.body(message)
+    penalty = _PER_DEFECT * defects + _PER_MISSING * len(missing) + (0.0 if sender or received else _NO_ORIGIN)
     return {
+        **fields,
         "filename": filename,
         "sha256": hashlib.sha256(raw).hexdigest(),
         "source_format": "msg" if is_msg else "eml",
         "from_display_name": _utf8(name),
         "from_address": _utf8(address),
-        "to_addresses": [_utf8(a) for a in to],
-        "subject": _utf8(_header(message, "Subject")),
-        "date_raw": _utf8(date_raw),
+        "to_addresses": [_utf8(a) for _, a in reading.tried(lambda: getaddresses(reading.headers(message, "To")), []) if a],
         "date_parsed": date_parsed,
-        "message_id": _utf8(_header(message, "Message-ID")),
-        "return_path": _utf8(_header(message, "Return-Path")),
         "content_type": content_type,
         "has_attachments": bool(attachments),
         "attachments": attachments,
         "parse_confidence": max(0.0, min(1.0, 1.0 - penalty)),
-        "issues": [{"field": f, "detail": _utf8(d)} for f, d in issues],
+        "issues": [{"field": f, "detail": _utf8(d)} for f, d in reading.issues],
         "received": [_utf8(h) for h in received],
-        "authentication_results": [_utf8(h) for h in _headers(message, "Authentication-Results")],
-        "dkim_signature": _utf8(_header(message, "DKIM-Signature")),
+        "authentication_results": [_utf8(h) for h in reading.headers(message, "Authentication-Results")],
         "body": _utf8(body),
         "is_html": is_html,
     }
