@@ -45,6 +45,9 @@ def _delta() -> Column:
     return (F.unix_micros("timestamp") - F.unix_micros("prev_timestamp")) / 1_000_000
 
 
+# fixed values: what summaries and evidence of the rules say
+
+
 def _impossible(before: int) -> Column:
     first = int(datetime(before, 1, 1, tzinfo=UTC).timestamp())
     return _said(F.unix_seconds("timestamp") < first, 1, "impossible_timestamp", "medium", F.array("sequence"), F.concat(F.lit("Hop "), _s("sequence"), F.lit(" timestamp predates the internet email era")), F.concat(F.lit("Received timestamp parses to "), _iso(F.col("timestamp"))))

@@ -36,6 +36,7 @@ def attribute(messages: DataFrame, hops: DataFrame, anomalies: DataFrame) -> Dat
     enriched = F.col("enrichment_source") == "geolite2-local"
     n = F.size("near")
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("near", lambda f: f["type"]))), ", ")
+    # fixed values: the sentences of the reasoning
     text = F.concat_ws(
         " ",
         F.concat(F.lit("earliest hop reporting a public source IP is hop #"), F.col("sequence").cast("string"), F.lit(" ("), F.col("from_ip"), F.lit(", claimed sending host "), F.coalesce("from_host", F.lit("unknown")), F.lit(").")),

@@ -1,7 +1,8 @@
 """Domains that pass for trusted ones.
 
-Each distinct domain is set against the list of trusted brands, a setting of bounded size that stands in
-the plan as a literal; nothing is joined. Of each brand the first rule that fires counts: equal
+Each distinct domain is set against the list of trusted brands, a setting of at most ``MOST_BRANDS`` that
+stands in the plan as a literal; nothing is joined or shuffled for it, and pairs that no rule can fire on go
+no further than the row they are made in. Of each brand the first rule that fires counts: equal
 skeleton, one or two edits, Jaro-Winkler similarity, the brand as a word of the first label. A brand's
 own domain isn't a lookalike of it. Null and blank domains have no matches; repeated rows count once.
 """
@@ -78,6 +79,17 @@ def jaro_winkler_similarity(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
+def _most_similar(a: str, b: str) -> Column:
+    """What ``jaro_winkler_similarity`` of two columns can be at most, by the letters they share, whatever their places."""
+    m, n = F.length(a), F.length(b)
+    shared = F.least(m - F.length(F.expr(f"translate({a}, {b}, '')")), n - F.length(F.expr(f"translate({b}, {a}, '')")))
+    jaro = (shared / m + shared / n + 1) / 3
+    prefix = F.lit(0)
+    for k in range(1, 5):
+        prefix = F.when((F.least(m, n) >= k) & (F.substring(a, 1, k) == F.substring(b, 1, k)), k).otherwise(prefix)
+    return jaro + 0.1 * prefix * (1 - jaro)
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
@@ -126,8 +138,8 @@ def matches(domains: DataFrame, domain: str, brands: list[str] | DataFrame | Non
     ratio = F.least(F.length("shown"), F.length("brand_plain")) / F.greatest(F.length("shown"), F.length("brand_plain"))
     word = brand_word(F.col("skeleton"), F.substring_index("brand_plain", ".", 1))
     tested = pairs.withColumns({"edits": edits, "word": word}).withColumn("same", F.col("skeleton") == F.col("brand_plain"))
-    # the similarity can't be reached where the lengths differ too much; only what is left goes to Python
-    open_ = ~F.col("same") & ~F.col("edits").between(1, MAX_EDITS) & (ratio >= 0.6)
+    # the similarity can't be reached where the lengths differ too much or too few letters are shared; only what is left goes to Python
+    open_ = ~F.col("same") & ~F.col("edits").between(1, MAX_EDITS) & (ratio >= 0.6) & (_most_similar("shown", "brand_plain") >= MIN_JARO_WINKLER - 1e-9)
     scored = tested.withColumn("similarity", jaro_winkler(F.when(open_, F.col("shown")), F.when(open_, F.col("brand_plain"))))
     method = (
         F.when(F.col("same"), "homoglyph_skeleton")

@@ -60,6 +60,9 @@ def anomaly_factors(anomalies: DataFrame) -> DataFrame:
     return _emit(anomalies, F.array(_factor(3, F.col("ordinal"), F.col("summary"), weight_of("severity", F.col("severity")), F.col("evidence"), "relay_chain")))
 
 
+# fixed values: names and evidence of the factors
+
+
 def _phishing(source: Column, probability: Column) -> Column:
     evidence = F.concat(F.lit("model-estimated phishing probability "), F.bround(probability * 100, 0).cast("int").cast("string"), F.lit("%"))
     fires = (source == "onnx-model") & (probability >= PHISHING_THRESHOLD)

@@ -267,3 +267,11 @@ def test_ranges_of_ipv6(spark):
     df = spark.createDataFrame([(i, ip, "clash") for i, ip in enumerate(ips)], "i int, ip string, name string")
     got = {r["i"]: r["name"] for r in geo.range_join(df, "ip", spark.createDataFrame(ranges, "low string, high string, name string"), ["name"]).collect()}
     assert got == {i: brute(ip) for i, ip in enumerate(ips)}
+
+
+def test_no_similar_domain_is_left_out(spark):
+    rng = random.Random(9)
+    names = ["".join(rng.choices("abpyl.-", k=rng.randrange(3, 14))) for _ in range(40)] + ["paypal.com", "apypal.com", "paypla.com", "payapl.com", "moc.lapyap"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    rows = pairs.select("a", "b", lookalike._most_similar("a", "b").alias("most")).collect()
+    assert all(lookalike.jaro_winkler_similarity(r["a"], r["b"]) <= r["most"] + 1e-9 for r in rows) and sum(r["most"] < 0.92 for r in rows) > 500
