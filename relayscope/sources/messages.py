@@ -80,6 +80,7 @@ class _Reading:
 
     def __init__(self) -> None:
         self.issues: list[tuple[str, str]] = []
+        self.held: dict[str, str | None] = {}  # headers read so far; the library parses them anew each time
 
     def tried(self, read: Callable[[], T], other: T, field: str | None = None, said: str = "") -> T:
         try:
@@ -122,7 +123,10 @@ class _Reading:
         return self.tried(rebuilt, EmailMessage(), "__root__", "msg")
 
     def header(self, message: Message, name: str) -> str | None:
-        return self.tried(lambda: None if message.get(name) is None else str(message.get(name)), None)
+        if name not in self.held:
+            value = self.tried(lambda: message.get(name), None)
+            self.held[name] = None if value is None else self.tried(lambda: str(value), None)
+        return self.held[name]
 
     def headers(self, message: Message, name: str) -> list[str]:
         return self.tried(lambda: [str(v) for v in message.get_all(name, [])], [])

@@ -28,7 +28,7 @@ of all rows loads no page.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -146,6 +146,20 @@ def kept_ids(log: DataFrame) -> DataFrame:
     return stays.join(log.where(F.col("kind") == "surplus").select("key", "at", "id"), ["key", "at", "id"], "left_anti").select("id")
 
 
+def _pages(spark: SparkSession, path: str, count: Callable[[], int]) -> int:
+    """The number of pages written down at ``path``; counted and written there the first time."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place) or fs.getFileStatus(place).getLen() != 4:  # not there, or not written to its end
+        out = fs.create(place, True)
+        out.writeInt(count())
+        out.close()
+    held = fs.open(place)
+    pages = held.readInt()
+    held.close()
+    return pages
+
+
 def run_dedupe(
     spark: SparkSession,
     path: str,
@@ -168,17 +182,12 @@ def run_dedupe(
     reach(spark)
     work = work or fresh_path(spark, "deliveries")
     source = spark.read.parquet(path)
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    place = jvm.Path(f"{work}/pages")
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm.Path(f"{work}/pages/_SUCCESS")):
-        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        spark.range(1).select(F.lit(max(least, -(-source.count() // per_page))).alias("pages")).write.mode("overwrite").parquet(f"{work}/pages")
-    pages = spark.read.parquet(f"{work}/pages").first()["pages"]
+    pages = _pages(spark, f"{work}/pages", lambda: max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2**30, -(-source.count() // per_page))))
     reader = spark.readStream.schema(source.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     # a pattern that only this name matches; it lets the stream take a single file as well as a folder
-    log = delivery_log(reader.parquet(f"{path[:-1]}[{path[-1]}]"), key, at, row_id, delay, min(pages, 2**31 - 1))
+    log = delivery_log(reader.parquet(f"{path[:-1]}[{path[-1]}]"), key, at, row_id, delay, pages)
 
     def write(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
