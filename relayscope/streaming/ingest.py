@@ -26,8 +26,11 @@ def incoming(spark: SparkSession, folder: str, pattern: str = "*.eml", files_per
     return stream.select(name.alias("filename"), "content", F.concat(F.substring(F.sha2("content", 256), 1, 16), F.lit("-"), name).alias("msg_id"))
 
 
-def analyse(stream: DataFrame, out: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, most: int = MAX_UPLOAD_BYTES) -> StreamingQuery:
-    """Parse accepted messages to ``out/messages`` and list the others in ``out/rejected``; ``then`` gets each parsed batch."""
+def analyse(stream: DataFrame, out: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, most: int = MAX_UPLOAD_BYTES, every: str | None = None) -> StreamingQuery:
+    """Parse accepted messages to ``out/messages`` and list the others in ``out/rejected``; ``then`` gets each parsed batch.
+
+    The query ends when what is there is read; with ``every`` (such as ``5 seconds``) it goes on looking for new files until it is stopped.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
         accepted, rejected = validated(batch, most)
@@ -37,4 +40,5 @@ def analyse(stream: DataFrame, out: str, checkpoint: str, then: Callable[[DataFr
         if then is not None:
             then(batch.sparkSession.read.parquet(f"{out}/messages/batch={number}"), number)
 
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

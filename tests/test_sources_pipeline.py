@@ -148,6 +148,20 @@ def test_folder_stream_equals_batch(spark, tmp_path):
     assert os.path.isdir(tmp_path / "ck")
 
 
+def test_a_running_stream_finds_new_files(spark, tmp_path):
+    inbox = tmp_path / "live"
+    inbox.mkdir()
+    (inbox / "a.eml").write_bytes(CLEAN)
+    query = ingest.analyse(ingest.incoming(spark, str(inbox)), str(tmp_path / "out"), str(tmp_path / "ck"), every="1 second")
+    try:
+        query.processAllAvailable()
+        (inbox / "b.eml").write_bytes(FORGED)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(r["filename"] for r in spark.read.parquet(str(tmp_path / "out/messages")).collect()) == ["a.eml", "b.eml"]
+
+
 def test_pasted(spark):
     assert messages.parse(messages.pasted(spark, ["From: a@b.test\n\n"])).first()["from_address"] == "a@b.test"
 
