@@ -15,7 +15,8 @@ Defined results: a null record, a record that isn't complete JSON, or JSON that
 nodes. Null elements take up an ordinal but have no node. Null, an empty array, a single value and an
 array of one have different identities. Text under a key of ``lists`` that starts like JSON but isn't
 complete JSON stays text and has no children. Repeated records give their own bridge rows and no
-new objects. Layers of text, and depth within what Python's own JSON reader takes, have no bound.
+new objects. Layers of text have no bound; records nested deeper than the JSON reader takes (some thousand
+levels) count as not complete.
 Further columns of the input are not read, so their names can't clash.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -50,6 +52,7 @@ PLAIN = frozenset({"to_addresses"})
 ITEM_FIELD = {"attachments": "sha256", "embedded": "sha256", "issues": "field", "spf": "result", "dkim": "result", "dmarc": "result"}
 
 MIXED_SCHEMA = "id string, source string, parent_hash string, key string, ordinal int, path string, hash string, content string, n long"
+_DEPTH = 1_000_000  # more than the JSON reader's own limit, so whatever it reads can be taken apart
 _BROKEN = object()  # text that starts like JSON but isn't
 
 
@@ -173,7 +176,12 @@ class _Shredder:
         value = parse_record(text)
         if value is None:
             return
-        digest, links = self._object(value)
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, _DEPTH))
+        try:
+            digest, links = self._object(value)
+        finally:
+            sys.setrecursionlimit(limit)
         self.rows.append((rid, source, None, None, None, "", digest, None))
         stack = [(digest, "", links)]
         while stack:

@@ -128,3 +128,10 @@ def test_any_number_of_text_layers(layers):
 def test_children_only_at_their_places(spark):
     _, got = run(spark, [("1", json.dumps({"spf": {"result": "x"}, "other": {"issues": [{"field": "f"}]}, "attachments": [[{"sha256": "in a list"}]]}), None, None, None)])
     assert got == {("1", "attachments/0", None)}
+
+
+@pytest.mark.parametrize("depth", [900, 1500, 4000, 200_000])
+def test_deep_records(depth):
+    for text in ('{"a":' * depth + "1" + "}" * depth, '{"a":' + "[" * depth + "1" + "]" * depth + "}"):
+        rows = rows_of(text)
+        assert len([r for r in rows if r[7] is None]) >= depth or rows == []
