@@ -9,13 +9,14 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relayscope.operators.nested import AUTH_CHILDREN, META_CHILDREN, parse_record, unwrap
+from relayscope.operators.nested import _DEPTH, AUTH_CHILDREN, META_CHILDREN, parse_record, unwrap
 
 HOP_FIELDS = "sequence raw_header from_host from_ip by_host protocol timestamp_raw timestamp parse_confidence asn asn_org country city latitude longitude enrichment_source is_bogon".split()
 META_FIELDS = "from_display_name from_address to_addresses subject date_raw date_parsed message_id return_path content_type has_attachments attachment_names attachments parse_confidence issues source_format sha256".split()
@@ -60,6 +61,18 @@ def _clean(value: object) -> object:
     return [_clean(v) for v in value] if isinstance(value, list) else value
 
 
+def _dumped(value: object) -> str:
+    """As JSON, however deep the value is."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, _DEPTH))
+    try:
+        return json.dumps(value, ensure_ascii=False, allow_nan=False)
+    except ValueError:
+        return json.dumps(_clean(value), ensure_ascii=False)
+    finally:
+        sys.setrecursionlimit(limit)
+
+
 def _listed(value: object) -> list:
     value = unwrap(value)
     found = [unwrap(v) for v in (value if isinstance(value, list) else [value])]
@@ -248,7 +261,7 @@ def _rendered(wide: DataFrame, render: Callable[[dict], str]) -> DataFrame:
 
 def json_reports(wide: DataFrame) -> DataFrame:
     """msg_id and the report as JSON."""
-    return _rendered(wide, lambda row: json.dumps(_clean(report(row)), ensure_ascii=False))
+    return _rendered(wide, lambda row: _dumped(report(row)))
 
 
 def text_reports(wide: DataFrame) -> DataFrame:

@@ -47,3 +47,10 @@ def test_broken_and_odd_records():
     text = reports.case_text(reports.report(row), row)
     for part in ("to:          y@t", "attachments: a.pdf", "[f] d", "DKIM   FAIL -- bad", "DKIM   NONE", "http://u  [IP-literal, unwraps to http://v]", "INDICATORS OF COMPROMISE (1)", "url  http://u  c", "note", "ORIGIN ATTRIBUTION"):
         assert part in text
+
+
+def test_deep_records_are_written():
+    row = dict.fromkeys([*reports.FLAT_FIELDS, *reports.RECORDS, "created_at", "hops", "anomalies", "factors", "score", "verdict", "attribution", "iocs", "msg_id"])
+    for end in ("1", "1e999"):
+        row["meta_json"] = '{"a":' * 3000 + end + "}" * 3000
+        assert '{"a": {"a": ' in reports._dumped(reports.report(row))
