@@ -2,9 +2,10 @@
 
 Sentences of labelled documents become transactions: their words and the area of the label. Parallel
 frequent-pattern growth mines them; frequent sets of any length with an area are rules ``words -> area``.
-Words that don't lean to an area by themselves are kept out of the pattern trees, which would explode;
-pairs of two such words that lean to one together are counted apart and are rules too. Rules that a
-shorter one makes redundant are pruned. A sentence's evidence for an area is what the matching rules
+Words that don't lean to an area by themselves are kept out of the patterns; pairs of two such words
+that lean to one together are counted apart and are rules too. Rules that a shorter one makes redundant
+are pruned, most while the patterns grow: a sentence of 40 words that returns has 2**40 frequent sets,
+of which the tasks visit few and the driver gets none that can't be a rule. A sentence's evidence for an area is what the matching rules
 say, each word counting by the strongest rule it takes part in. The evidence is calibrated on sentences
 kept out of the mining: a monotone map gives the probability that the area of most evidence is right.
 A sentence takes two words that speak for its area; a single one, however sure, isn't enough. A document
@@ -23,13 +24,13 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,6 +206,137 @@ def _leaning_together(transactions: list[tuple[str, frozenset[str]]], words: lis
     return found
 
 
+_GAIN = 0.02  # by so much a rule's confidence is above that of every rule with some of its words
+_SLACK = 1e-9  # keeps what the bounds below only rule out by rounding
+
+
+@dataclass(frozen=True)
+class _Known:
+    """What pattern growth knows beforehand; words and areas are numbers, the most frequent word is 0."""
+
+    least_count: int
+    bar: list[float]  # least confidence of a rule, by area
+    total: list[int]  # transactions with a word
+    joint: list[dict[int, int]]  # of these, by area
+    reach: list[dict[int, float]]  # confidence of the rules of one word, by area
+
+
+_Row = tuple[tuple[int, ...], dict[int, int]]  # words in the order of their numbers -> transactions with them by area
+
+
+def _merged(rows: Iterable[_Row]) -> list[_Row]:
+    """Rows of the same words put together; rows without any are left out."""
+    out: dict[tuple[int, ...], dict[int, int]] = {}
+    for items, by_area in rows:
+        if items:
+            held = out.setdefault(items, {})
+            for a, n in by_area.items():
+                held[a] = held.get(a, 0) + n
+    return list(out.items())
+
+
+def _conditional(rows: list[_Row], words: Iterable[int]) -> Iterator[tuple[int, list[_Row]]]:
+    """For each of the words the rows with it, cut before it."""
+    at: dict[int, list[_Row]] = {w: [] for w in words}
+    for row in rows:
+        for w in row[0]:
+            if w in at:
+                at[w].append(row)
+    for w, held in at.items():
+        yield w, _merged((items[: bisect_left(items, w)], by_area) for items, by_area in held)
+
+
+def _grow(held: tuple[int, ...], total: int, rows: list[_Row], floor: dict[int, float], known: _Known) -> Iterator[tuple[tuple[int, ...], int, int, int]]:
+    """Pattern growth: what may be rules among sets of the words ``held`` and some of the rows'; (words, area, transactions of the area, all).
+
+    ``floor`` has, by area, what rules with some of the words reach at least; an area that isn't there has no rule with more words.
+    Left out, with all that hold them, are sets that occur as often as one with a word less (they say the same) and sets that no
+    further word can lift over the floor: the transactions of a row stay together whatever is added, so no set has a
+    larger share of an area than the best row.
+    """
+    shares: dict[int, float] = {}
+    count: dict[int, dict[int, int]] = {}
+    for items, by_area in rows:
+        of = sum(by_area.values())
+        for a, n in by_area.items():
+            if n > shares.get(a, 0.0) * of:
+                shares[a] = n / of
+        for w in items:
+            c = count.setdefault(w, {})
+            for a, n in by_area.items():
+                c[a] = c.get(a, 0) + n
+    kept: dict[int, tuple[int, dict[int, float]]] = {}
+    for w, c in count.items():
+        of = sum(c.values())
+        if of == total or of == known.total[w]:
+            continue
+        above = {}
+        for a, low in floor.items():
+            n = c.get(a, 0)
+            if n < known.least_count:
+                continue
+            low = max(low, known.reach[w].get(a, 0.0))
+            p, bar = lower_bound(n, of), known.bar[a]
+            if p >= bar:
+                if p > low + _GAIN - _SLACK:
+                    yield (*held, w), a, n, of
+                low = max(low, p - _GAIN)
+            most = lower_bound(n, n / shares[a])
+            if most >= bar - _SLACK and most > low + _GAIN - _SLACK:
+                above[a] = low
+        if above:
+            kept[w] = of, above
+    rows = _merged((tuple(w for w in items if w in kept), by_area) for items, by_area in rows)
+    for w, base in _conditional(rows, kept):
+        if base:
+            yield from _grow((*held, w), kept[w][0], base, kept[w][1], known)
+
+
+def _grown(spark: SparkSession, transactions: Counter[tuple[int, tuple[int, ...]]], known: _Known) -> list[tuple[tuple[int, ...], int, int, int]]:
+    """Parallel pattern growth: words are dealt into groups; a task grows the sets whose rarest word is in its groups from the transactions cut after it."""
+    if not transactions:
+        return []
+    tasks = spark.sparkContext.defaultParallelism
+    groups = 4 * tasks
+    shared = spark.sparkContext.broadcast(known)
+    kinds, names = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64()), ["deal", "area", "items", "n"]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, list[int], int]] = []
+            size = 0
+            for area, items, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for g, end in {w % groups: i + 1 for i, w in enumerate(items)}.items():
+                    out.append((g, area, items[:end], n))
+                    size += end
+                if size > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, by_group = shared.value, defaultdict(dict)
+        for batch in batches:
+            for g, area, items, n in zip(*(c.to_pylist() for c in batch.columns)):
+                by_area = by_group[g].setdefault(tuple(items), {})
+                by_area[area] = by_area.get(area, 0) + n
+        for g, rows in by_group.items():
+            for w, base in _conditional(list(rows.items()), range(g, len(held.total), groups)):
+                floor = {a: held.reach[w].get(a, 0.0) for a, n in held.joint[w].items() if n >= held.least_count}
+                found = list(_grow((w,), held.total[w], base, floor, held))
+                if found:
+                    words, area, n, of = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int32())), pa.array(area, pa.int32()), pa.array(n, pa.int64()), pa.array(of, pa.int64())], names=["items", "area", "n", "of"])
+
+    keys = list(transactions)
+    table = pa.table({"area": pa.array([a for a, _ in keys], pa.int32()), "items": pa.array([w for _, w in keys], pa.list_(pa.int32())), "n": pa.array(transactions.values(), pa.int64())})
+    rows = spark.createDataFrame(table).repartition(tasks).mapInArrow(dealt, "deal int, area int, items array<int>, n bigint")
+    mined = rows.repartition(tasks, "deal").mapInArrow(run, "items array<int>, area int, n bigint, of bigint").toArrow()  # what may be a rule, of the bounded sample
+    shared.unpersist()
+    return list(zip(map(tuple, mined.column("items").to_pylist()), *(mined.column(c).to_pylist() for c in ("area", "n", "of"))))
+
+
 def mine(spark: SparkSession, transactions: list[tuple[str, frozenset[str]]], areas: list[str], *, least_count: int, least_confidence: float) -> Rules:
     """Rules from (area, words) pairs of a bounded sample."""
     rules = Rules(areas)
@@ -221,33 +353,31 @@ def mine(spark: SparkSession, transactions: list[tuple[str, frozenset[str]]], ar
         seen.update(words)
         with_area.update((w, area) for w in words)
     bar = {a: min(0.9, max(least_confidence, 1.3 * p)) for a, p in prior.items()}
-    leaning = {w for (w, a), n in with_area.items() if seen[w] >= least_count and lower_bound(n, seen[w]) >= bar[a]}
-    rows = [[_CLASS + a, *sorted(words & leaning)] for a, words in transactions if words & leaning]
-    if not rows:
-        return rules
-    frame = spark.createDataFrame(pa.table({"items": pa.array(rows, pa.list_(pa.string()))})).repartition(spark.sparkContext.defaultParallelism)
-    found = FPGrowth(itemsCol="items", minSupport=least_count / len(rows), numPartitions=spark.sparkContext.defaultParallelism).fit(frame).freqItemsets
-    mined = found.toArrow()  # their number is bounded by the sample
-    counts: dict[frozenset[str], int] = {}
-    joint: dict[tuple[frozenset[str], str], int] = {}
-    for items, n in zip(mined.column("items").to_pylist(), mined.column("freq").to_pylist()):
-        marks = [x for x in items if x[0] == _CLASS]
-        words = frozenset(x for x in items if x[0] != _CLASS)
-        if not marks:
-            counts[words] = n
-        elif words:
-            joint[words, marks[0][1:]] = n
-    for words, area, n, of in _leaning_together(transactions, [w for w, n in sorted(seen.items()) if n >= least_count and w not in leaning], bar, least_count):
-        counts[words], joint[words, area] = of, n
+    stands = {a: max(least_confidence, 1.3 * p) for a, p in prior.items()}
+    leaning = sorted({w for (w, a), n in with_area.items() if seen[w] >= least_count and lower_bound(n, seen[w]) >= bar[a]}, key=lambda w: (-seen[w], w))
+    at = {w: i for i, w in enumerate(leaning)}
+    joint: list[dict[int, int]] = [{} for _ in leaning]
+    reach: list[dict[int, float]] = [{} for _ in leaning]
+    may: list[tuple[frozenset[str], str, int, int]] = []  # words, area, transactions with both, with the words at all
+    for (w, a), n in with_area.items():
+        if w in at:
+            joint[at[w]][number[a]] = n
+            if n >= least_count and (p := lower_bound(n, seen[w])) >= stands[a] and p > _GAIN:
+                reach[at[w]][number[a]] = p
+                may.append((frozenset([w]), a, n, seen[w]))
+    known = _Known(least_count, [stands.get(a, 1.0) for a in areas], [seen[w] for w in leaning], joint, reach)
+    merged = Counter((number[a], tuple(sorted(at[w] for w in words & at.keys()))) for a, words in transactions)
+    for items, area, n, of in _grown(spark, Counter({k: n for k, n in merged.items() if len(k[1]) > 1}), known):
+        may.append((frozenset(leaning[w] for w in items), areas[area], n, of))
+    may += _leaning_together(transactions, [w for w, n in sorted(seen.items()) if n >= least_count and w not in at], bar, least_count)
     confidence: dict[tuple[frozenset[str], str], float] = {}
-    reached: dict[tuple[frozenset[str], str], float] = {}  # of the rules with some or all of the words
-    for (words, area), n in sorted(joint.items(), key=lambda x: len(x[0][0])):
-        mine_ = lower_bound(n, counts[words])
-        shorter = max((reached.get((words - {w}, area), 0.0) for w in words), default=0.0)
-        stands = mine_ >= max(least_confidence, 1.3 * prior[area]) and mine_ > shorter + 0.02
-        if stands:
-            confidence[words, area] = mine_
-        reached[words, area] = mine_ if stands else shorter
+    shorter: dict[tuple[str, str], list[tuple[frozenset[str], float]]] = defaultdict(list)  # rules by area and one of their words
+    for words, area, n, of in sorted(may, key=lambda x: (len(x[0]), sorted(x[0]), x[1])):
+        p = lower_bound(n, of)
+        reached = max((q for w in words for some, q in shorter.get((area, w), ()) if some < words), default=0.0)
+        if p >= stands[area] and p > reached + _GAIN:
+            confidence[words, area] = p
+            shorter[area, min(words, key=lambda w: (seen[w], w))].append((words, p))
     by_word: dict[str, list] = defaultdict(list)
     for (words, area), p in confidence.items():
         p = min(p, 0.995)

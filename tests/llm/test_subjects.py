@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from itertools import combinations
 
 from relayscope.llm import subjects
 
@@ -72,3 +74,56 @@ def test_what_has_no_area_is_left_out():
 def test_calibration_never_falls():
     steps = subjects.calibrate([(float(i), i % 3 != 0 or i > 60) for i in range(100)], 10)
     assert [p for _, p in steps] == sorted(p for _, p in steps)
+
+
+def by_hand(rows, areas, least_count, least_confidence):
+    """Rules from every set of words that lean to an area by themselves, and from every pair of those that don't."""
+    prior = {a: sum(b == a for b, _ in rows) / len(rows) for a in {b for b, _ in rows}}
+    stands = {a: max(least_confidence, 1.3 * p) for a, p in prior.items()}
+    alone = Counter((w, a) for a, words in rows for w in words)
+    seen = Counter(w for _, words in rows for w in words)
+    leaning = {w for (w, a), n in alone.items() if seen[w] >= least_count and subjects.lower_bound(n, seen[w]) >= min(0.9, stands[a])}
+    all_, joint = Counter(), Counter()
+    for a, words in rows:
+        sets = [s for k in range(1, len(words) + 1) for s in combinations(sorted(words & leaning), k)]
+        sets += combinations(sorted(w for w in words - leaning if seen[w] >= least_count), 2)
+        all_.update(sets)
+        joint.update((s, a) for s in sets)
+    kept = {}
+    for (s, a), n in sorted(joint.items(), key=lambda x: len(x[0][0])):
+        p = subjects.lower_bound(n, all_[s])
+        least = 1 if leaning.isdisjoint(s) else least_count
+        if n >= least and all_[s] >= least_count and p >= stands[a] and p > 0.02 + max((q for (t, b), q in kept.items() if a == b and set(t) < set(s)), default=0.0):
+            kept[s, a] = p
+    return {(s, a) for (s, a), p in kept.items() if p / (1 - p) > prior[a] / (1 - prior[a])}
+
+
+def rules_of(rules):
+    return {(tuple(sorted(words)), rules.areas[area]) for held in rules.by_word.values() for words, area, _ in held}
+
+
+def test_rules_are_those_of_all_frequent_sets(spark):
+    lengths = Counter()
+    for seed in range(4):
+        rng = random.Random(seed)
+        share = {a: [rng.uniform(0.55, 0.65) if "abc"[i % 3] == a else 0.3 for i in range(12)] for a in "abc"}
+        rows = [(a, frozenset(f"w{i}" for i, p in enumerate(share[a]) if rng.random() < p)) for a in rng.choices("abc", k=1500)]
+        rows += [("a", frozenset({"p", "q"})), ("a", frozenset("pr")), ("b", frozenset("pr")), ("c", frozenset("qr"))] * (20 * (seed % 2))
+        want = by_hand(rows, list("abc"), 5, 0.3)
+        assert rules_of(subjects.mine(spark, rows, list("abc"), least_count=5, least_confidence=0.3)) == want
+        lengths.update(len(s) for s, _ in want)
+    assert min(lengths[1], lengths[2], lengths[3]) > 20 and lengths[4]
+
+
+def test_pairs_count_where_no_word_leans(spark):
+    rows = [("a", frozenset("pq")), ("b", frozenset("pr")), ("b", frozenset("qr")), ("a", frozenset("r"))] * 50 + [("b", frozenset("r")), ("a", frozenset("r"))] * 50
+    assert rules_of(subjects.mine(spark, rows, ["a", "b"], least_count=4, least_confidence=0.3)) == by_hand(rows, ["a", "b"], 4, 0.3) == {(("p", "q"), "a"), (("p", "r"), "b"), (("q", "r"), "b")}
+
+
+def test_long_sentences_met_often_are_mined(spark):
+    """Forty words that return together have 2**40 frequent sets, none of which says more than the words do."""
+    words = [f"w{i:02}" for i in range(40)]
+    rows = [("a", frozenset(words))] * 60 + [("b", frozenset(words))] * 6 + [("b", frozenset({f"x{i}", "y"})) for i in range(60)]
+    rows += [("a", frozenset({w, f"z{i % 7}"})) for i, w in enumerate(words)]
+    got = rules_of(subjects.mine(spark, rows, ["a", "b"], least_count=4, least_confidence=0.3))
+    assert got == {((w,), "a") for w in words} | {(("y",), "b")}
