@@ -2,8 +2,8 @@
 
 Sentences of labelled documents become transactions: their words and the area of the label. Parallel
 frequent-pattern growth mines them; frequent sets of any length with an area are rules ``words -> area``.
-Words that don't lean to an area by themselves are kept out of the patterns; pairs of two such words
-that lean to one together are counted apart and are rules too. Rules that a shorter one makes redundant
+Words that don't lean to an area by themselves are kept apart; pairs of two such words
+that lean to one together are rules too. Rules that a shorter one makes redundant
 are pruned, most while the patterns grow: a sentence of 40 words that returns has 2**40 frequent sets,
 of which the tasks visit few and the driver gets none that can't be a rule. A sentence's evidence for an area is what the matching rules
 say, each word counting by the strongest rule it takes part in. The evidence is calibrated on sentences
@@ -29,7 +29,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,45 +175,16 @@ def calibrate(pairs: list[tuple[float, bool]], least: int = 20) -> list[tuple[fl
     return [(b[0], b[1] / b[2]) for b in blocks]
 
 
-def _leaning_together(transactions: list[tuple[str, frozenset[str]]], words: list[str], bar: dict[str, float], least_count: int) -> list[tuple[frozenset[str], str, int, int]]:
-    """Pairs of the words that lean to an area together: (pair, area, transactions with both of the area, with both at all)."""
-    at = {w: i for i, w in enumerate(words)}
-    groups = Counter((a, tuple(sorted(at[w] for w in found & at.keys()))) for a, found in transactions)
-    by_area: dict[str, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
-    for (a, held), n in sorted(groups.items()):
-        if len(held) > 1:
-            by_area[a].append((held, n))
-    size = len(words)
-
-    def pairs(rows: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
-        out = np.zeros((size, size), np.float32)
-        for a in range(0, len(rows), 4096):
-            part = rows[a : a + 4096]
-            has = np.zeros((len(part), size), np.float32)
-            for i, (held, _) in enumerate(part):
-                has[i, list(held)] = 1
-            out += (has * np.array([n for _, n in part], np.float32)[:, None]).T @ has
-        return np.triu(out, 1)
-
-    counted = {a: pairs(rows) for a, rows in by_area.items()}
-    all_ = sum(counted.values()) if counted else np.zeros((0, 0), np.float32)
-    found = []
-    for area, n in counted.items():
-        for u, v in zip(*np.nonzero((all_ >= least_count) & (n >= bar[area] * all_) & (n > 0))):
-            if lower_bound(float(n[u, v]), float(all_[u, v])) >= bar[area]:
-                found.append((frozenset((words[u], words[v])), area, int(n[u, v]), int(all_[u, v])))
-    return found
-
-
 _GAIN = 0.02  # by so much a rule's confidence is above that of every rule with some of its words
 _SLACK = 1e-9  # keeps what the bounds below only rule out by rounding
 
 
 @dataclass(frozen=True)
 class _Known:
-    """What pattern growth knows beforehand; words and areas are numbers, the most frequent word is 0."""
+    """What pattern growth knows beforehand; words and areas are numbers, words that lean to an area come first, then the most frequent."""
 
     least_count: int
+    leaning: int  # so many words lean to an area by themselves; of others only pairs are grown
     bar: list[float]  # least confidence of a rule, by area
     total: list[int]  # transactions with a word
     joint: list[dict[int, int]]  # of these, by area
@@ -254,6 +224,7 @@ def _grow(held: tuple[int, ...], total: int, rows: list[_Row], floor: dict[int,
     further word can lift over the floor: the transactions of a row stay together whatever is added, so no set has a
     larger share of an area than the best row.
     """
+    alone = held[0] >= known.leaning
     shares: dict[int, float] = {}
     count: dict[int, dict[int, int]] = {}
     for items, by_area in rows:
@@ -268,12 +239,12 @@ def _grow(held: tuple[int, ...], total: int, rows: list[_Row], floor: dict[int,
     kept: dict[int, tuple[int, dict[int, float]]] = {}
     for w, c in count.items():
         of = sum(c.values())
-        if of == total or of == known.total[w]:
+        if of < known.least_count or of == total or of == known.total[w]:
             continue
         above = {}
         for a, low in floor.items():
             n = c.get(a, 0)
-            if n < known.least_count:
+            if n < (1 if alone else known.least_count):
                 continue
             low = max(low, known.reach[w].get(a, 0.0))
             p, bar = lower_bound(n, of), known.bar[a]
@@ -284,7 +255,7 @@ def _grow(held: tuple[int, ...], total: int, rows: list[_Row], floor: dict[int,
             most = lower_bound(n, n / shares[a])
             if most >= bar - _SLACK and most > low + _GAIN - _SLACK:
                 above[a] = low
-        if above:
+        if above and not alone:
             kept[w] = of, above
     rows = _merged((tuple(w for w in items if w in kept), by_area) for items, by_area in rows)
     for w, base in _conditional(rows, kept):
@@ -323,7 +294,7 @@ def _grown(spark: SparkSession, transactions: Counter[tuple[int, tuple[int, ...]
                 by_area[area] = by_area.get(area, 0) + n
         for g, rows in by_group.items():
             for w, base in _conditional(list(rows.items()), range(g, len(held.total), groups)):
-                floor = {a: held.reach[w].get(a, 0.0) for a, n in held.joint[w].items() if n >= held.least_count}
+                floor = {a: held.reach[w].get(a, 0.0) for a, n in held.joint[w].items() if n >= held.least_count or w >= held.leaning}
                 found = list(_grow((w,), held.total[w], base, floor, held))
                 if found:
                     words, area, n, of = zip(*found)
@@ -346,7 +317,7 @@ def mine(spark: SparkSession, transactions: list[tuple[str, frozenset[str]]], ar
     total = len(transactions)
     per_area = Counter(a for a, _ in transactions)
     prior = {a: n / total for a, n in per_area.items()}
-    # words that lean to no area are left out here, which keeps the pattern trees small; pairs of them that do are counted apart
+    # words that lean to no area are kept apart; pairs of them that do are grown too
     seen: Counter[str] = Counter()
     with_area: Counter[tuple[str, str]] = Counter()
     for area, words in transactions:
@@ -354,22 +325,26 @@ def mine(spark: SparkSession, transactions: list[tuple[str, frozenset[str]]], ar
         with_area.update((w, area) for w in words)
     bar = {a: min(0.9, max(least_confidence, 1.3 * p)) for a, p in prior.items()}
     stands = {a: max(least_confidence, 1.3 * p) for a, p in prior.items()}
-    leaning = sorted({w for (w, a), n in with_area.items() if seen[w] >= least_count and lower_bound(n, seen[w]) >= bar[a]}, key=lambda w: (-seen[w], w))
-    at = {w: i for i, w in enumerate(leaning)}
-    joint: list[dict[int, int]] = [{} for _ in leaning]
-    reach: list[dict[int, float]] = [{} for _ in leaning]
+    leaning = {w for (w, a), n in with_area.items() if seen[w] >= least_count and lower_bound(n, seen[w]) >= bar[a]}
+    words_ = sorted((w for w, n in seen.items() if n >= least_count), key=lambda w: (w not in leaning, -seen[w], w))
+    at = {w: i for i, w in enumerate(words_)}
+    joint: list[dict[int, int]] = [{} for _ in words_]
+    reach: list[dict[int, float]] = [{} for _ in words_]
     may: list[tuple[frozenset[str], str, int, int]] = []  # words, area, transactions with both, with the words at all
     for (w, a), n in with_area.items():
         if w in at:
             joint[at[w]][number[a]] = n
-            if n >= least_count and (p := lower_bound(n, seen[w])) >= stands[a] and p > _GAIN:
+            if w in leaning and n >= least_count and (p := lower_bound(n, seen[w])) >= stands[a] and p > _GAIN:
                 reach[at[w]][number[a]] = p
                 may.append((frozenset([w]), a, n, seen[w]))
-    known = _Known(least_count, [stands.get(a, 1.0) for a in areas], [seen[w] for w in leaning], joint, reach)
-    merged = Counter((number[a], tuple(sorted(at[w] for w in words & at.keys()))) for a, words in transactions)
-    for items, area, n, of in _grown(spark, Counter({k: n for k, n in merged.items() if len(k[1]) > 1}), known):
-        may.append((frozenset(leaning[w] for w in items), areas[area], n, of))
-    may += _leaning_together(transactions, [w for w, n in sorted(seen.items()) if n >= least_count and w not in at], bar, least_count)
+    known = _Known(least_count, len(leaning), [stands.get(a, 1.0) for a in areas], [seen[w] for w in words_], joint, reach)
+    merged: Counter[tuple[int, tuple[int, ...]]] = Counter()
+    for a, words in transactions:
+        items = sorted(at[w] for w in words & at.keys())
+        cut = bisect_left(items, len(leaning))
+        merged.update((number[a], tuple(part)) for part in (items[:cut], items[cut:]) if len(part) > 1)
+    for items, area, n, of in _grown(spark, merged, known):
+        may.append((frozenset(words_[w] for w in items), areas[area], n, of))
     confidence: dict[tuple[frozenset[str], str], float] = {}
     shorter: dict[tuple[str, str], list[tuple[frozenset[str], float]]] = defaultdict(list)  # rules by area and one of their words
     for words, area, n, of in sorted(may, key=lambda x: (len(x[0]), sorted(x[0]), x[1])):

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
@@ -127,3 +128,17 @@ def test_long_sentences_met_often_are_mined(spark):
     rows += [("a", frozenset({w, f"z{i % 7}"})) for i, w in enumerate(words)]
     got = rules_of(subjects.mine(spark, rows, ["a", "b"], least_count=4, least_confidence=0.3))
     assert got == {((w,), "a") for w in words} | {(("y",), "b")}
+
+
+def test_many_words_take_no_table_of_all_pairs(spark):
+    """Six thousand words that lean to no area: a number for each two of them would be 144 MB an area."""
+    rng = random.Random(5)
+    rows = [(a, frozenset(f"w{i}" for i in range(k, k + 12))) for k in range(0, 6000, 12) for a in "abc"] * 3
+    rows += [(a, frozenset({"p", q})) for a, q in (("a", "q"), ("b", "r"), ("c", "s"))] * 30 + [(a, frozenset({w})) for a in "abc" for w in "qrs" if (a, w) not in (("a", "q"), ("b", "r"), ("c", "s"))] * 30
+    rng.shuffle(rows)
+    tracemalloc.start()
+    rules = subjects.mine(spark, rows, list("abc"), least_count=5, least_confidence=0.3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rules_of(rules) == {(("p", "q"), "a"), (("p", "r"), "b"), (("p", "s"), "c")}
+    assert peak < 60e6
