@@ -2,13 +2,13 @@
 
 Sentences of labelled documents become transactions: their words and the area of the label. Parallel
 frequent-pattern growth mines them; frequent sets of any length with an area are rules ``words -> area``.
-Words that don't lean to an area by themselves are kept apart; pairs of two such words
-that lean to one together are rules too. Rules that a shorter one makes redundant
-are pruned, most while the patterns grow: a sentence of 40 words that returns has 2**40 frequent sets,
-of which the tasks visit few and the driver gets none that can't be a rule. A sentence's evidence for an area is what the matching rules
-say, each word counting by the strongest rule it takes part in. The evidence is calibrated on sentences
-kept out of the mining: a monotone map gives the probability that the area of most evidence is right.
-A sentence takes two words that speak for its area; a single one, however sure, isn't enough. A document
+Words that don't lean to an area by themselves are kept apart; pairs of two such words that lean to
+one together are rules too. Rules that a shorter one makes redundant are pruned, most while the patterns
+grow: a sentence of 40 words that returns has 2**40 frequent sets, of which the tasks visit few and the
+driver gets none that can't be a rule. A sentence's evidence for an area is what the matching rules say,
+each word counting by the strongest rule it takes part in. The evidence is calibrated on sentences kept
+out of the mining: a monotone map gives the probability that the area of most evidence is right. A
+sentence takes two words that speak for its area; a single one, however sure, isn't enough. A document
 is about the areas that hold at least a quarter of its sentences with an area.
 
 Labels belong to whole documents, are partly wrong and may name two areas, so mining runs twice: the
